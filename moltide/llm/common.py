@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -149,3 +149,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+#: Rows that number themselves together, on average, and the fewest such sets of a group.
+NUMBER_ROWS, NUMBER_SETS = 250_000, 4
+
+
+def number_rows(rows: DataFrame, group: str, keys: list[str], to: str) -> DataFrame:
+    """rows with the column `to`: gapless numbers from 0 within each `group`, in no order that means anything.
+
+    A group is dealt by a hash of the keys into sets, however large it is: each set numbers its rows by itself and starts
+    where the sets before it end. The table of starts has a row for each group and set. rows must be a written table.
+    """
+    sets = max(NUMBER_SETS, rows.count() // (NUMBER_ROWS * 8))
+    rows = rows.withColumn("__set", F.pmod(F.xxhash64(F.lit("number"), *keys), F.lit(sets)).cast("int"))
+    ends = rows.groupBy(group, "__set").agg(F.count("*").alias("__n"))
+    start = ends.select(group, "__set", (F.sum("__n").over(Window.partitionBy(group).orderBy("__set")) - F.col("__n")).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(group, "__set").orderBy(*[F.col(k).asc_nulls_first() for k in keys])) - 1
+    numbered = rows.withColumn("__own", own).join(start, [group, "__set"])
+    return numbered.withColumn(to, (F.col("__start") + F.col("__own")).cast("long")).drop("__set", "__own", "__start")
