@@ -1,0 +1,265 @@
+"""Operators of the llm subpackage against brute force, round trips, and odd tables."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from moltide.llm import ann_forest, bin_completion, block_max_wand, chain_dedup, hash_tree, line_crf, piece_encoding, simhash, url_filter, warc_zstd
+from moltide.llm.common import connected_components, star_components
+
+LONG = "word " * 30_000
+ODD = [(1, None), (2, ""), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (None, "alpha Beta gamma delta"), (4, LONG), (5, " \n\t ")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "x", 7, 9) for i, t in ODD], "doc_id long, text string, fp string, node int, shard int")
+
+
+def test_simhash_against_brute_force(spark):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60)) for _ in range(40)]
+    texts = base + [t + " tail" for t in base[:20]] + base[:5] + [None, ""]
+    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.simhash_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    fps = []
+    for t in texts:
+        w = (t or "").lower().encode().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    assert [got[i][0] & (1 << 64) - 1 for i in range(len(texts))] == fps
+    label = list(range(len(texts)))
+    for _ in label:
+        for i, x in enumerate(fps):
+            label[i] = min(label[j] for j, y in enumerate(fps) if (x ^ y).bit_count() <= 3)
+    assert [got[i][1] for i in range(len(texts))] == label
+
+
+def test_tree_routes_find_all_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 3000)
+    x = np.concatenate([x, x[:500] ^ (1 << rng.integers(0, 60, 500)), x[:300] ^ 7])
+    tree = simhash.grow(simhash.block(x, 0, 2), 100)
+    met = set()
+    for _, home, visit in simhash.route(simhash.block(x, 0, 2), tree, 1):
+        a, b = simhash.linked(x[np.append(home, visit)], x[np.append(home, visit)], np.arange(len(home) + len(visit)) < len(home), 0, 3)
+        met |= {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3)
+    near = np.bitwise_count(simhash.block(x[a], 0, 2) ^ simhash.block(x[b], 0, 2)) <= 1
+    got = dict(zip(*star_components(np.array([min(p) for p in met]), np.array([max(p) for p in met])), strict=True))
+    assert all(got.get(p, p) == got.get(q, q) for p, q in zip(x[a[near]].tolist(), x[b[near]].tolist(), strict=True))
+    assert all((p ^ q).bit_count() <= 3 for p, q in map(tuple, met))
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (5, 5), (3, 40), (40, 41)] + [(100, k) for k in range(101, 160)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 40: 1, 41: 1, 10: 10, 11: 10} | {k: 100 for k in range(100, 160)}
+
+
+def test_near_groups(spark, odd):
+    rng = random.Random(2)
+    words = [rng.choice("bcdfg") + rng.choice("aeiou") * rng.randint(1, 4) + rng.choice("lmnrst") for _ in range(400)]
+    near = words[:200] + ["changed"] + words[201:]
+    rows = [(7, " ".join(words)), (3, " ".join(near)), (9, " ".join(reversed(words))), (8, None), (6, "")]
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: 3, 3: 3, 8: 6, 6: 6}
+    assert simhash.near_groups(odd).count() == 4
+
+
+def test_forest_recall(spark):
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((3000, 24)).astype("float32")
+    v[7] = v[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(-50, None), (-100, [0.0] * 24), (-150, [float("nan")] * 24), (None, v[1].tolist()), (-200, [])]
+    got = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q, g in got.sort_values("rank").groupby("query_id"):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s, kind="stable")[:5]) & set(g["vec_id"]))
+        assert np.allclose(g["score"], s[g["vec_id"]]) and list(g["rank"]) == [1, 2, 3, 4, 5]
+    assert set(got["query_id"]) == set(range(0, 3000, 50)) and hit / len(got) >= 0.9
+    assert got[(got.query_id == 0) & (got["rank"] == 1)]["vec_id"].item() == 7
+
+
+def test_passages(spark, odd):
+    rng = random.Random(4)
+    new = lambda n: " ".join(rng.choice("bcdfg") + rng.choice("aeiou") * rng.randint(1, 4) + rng.choice("lmnrst") + str(rng.randint(0, 99)) for _ in range(n))
+    shared = new(60)
+    fuzzy = shared.split()
+    fuzzy[20], fuzzy[41] = "other", "words here"
+    texts = [new(80) + " " + shared + " " + new(30), new(50) + " " + shared + " " + new(90), new(20) + " " + " ".join(fuzzy), new(200), shared]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)] + [(9, None, 0)], "doc_id long, text string, n_chars long")
+    found = chain_dedup.passages(df)
+    got = {r.doc_id: (r.start, r.end, r.source_doc_id) for r in found.collect()}
+    assert set(got) == {1, 2, 4} and all(x[2] == 0 for x in got.values())
+    assert abs(got[1][0] - texts[1].index(shared)) < 20 and abs(got[1][1] - texts[1].index(shared) - len(shared)) < 20
+    left = {r.doc_id: r.text for r in chain_dedup.cut_passages(df, found).collect()}
+    assert set(left) == {0, 1, 2, 3, 9} and left[0] == texts[0] and shared not in left[1] and left[1].startswith(texts[1][:100])
+    assert chain_dedup.passages(odd).count() == 0
+
+
+def test_chains_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        pts = sorted({(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(9)})
+        a, b = [p[0] for p in pts], [p[1] for p in pts]
+        best = [0.0] * len(pts)
+        for i in range(len(pts)):
+            best[i] = chain_dedup.SEED_SCORE + max([0.0, *(best[j] - chain_dedup.GAP_COST * (a[i] - a[j] + b[i] - b[j]) for j in range(i) if a[j] < a[i] and b[j] < b[i])])
+        chains = chain_dedup.best_chains(a, b)
+        if chains:
+            c = chains[0]
+            score = chain_dedup.SEED_SCORE * len(c) - chain_dedup.GAP_COST * (a[c[-1]] - a[c[0]] + b[c[-1]] - b[c[0]])
+            assert abs(score - max(best)) < 1e-9
+
+
+def test_packing(spark, odd):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bin_completion.pieces(odd, path, keep_ids=True)
+    from moltide.llm.common import materialise
+
+    got = bin_completion.pack(materialise(found, "test")).toPandas()
+    tok = bin_completion.chunk_tokenizer(path).tokenizer
+    for i, t in ODD:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        mine = got[got.doc_id.isna()] if i is None else got[got.doc_id == i]
+        assert b"".join(mine.drop_duplicates("piece").sort_values("piece")["ids"]) == ids
+    assert (got["ids"].map(zlib.crc32) == got["ids_crc32"]).all() and (got["ids"].map(len) == 4 * got["length"]).all()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == np.append(0, g["length"].cumsum()[:-1]).tolist() and g["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() == -(-got["length"].sum() // 2048)
+
+
+def test_bin_completion_is_optimal_where_known():
+    for counts, capacity, bins in (({6: 3, 4: 3}, 10, 3), ({5: 1, 4: 2, 3: 3, 2: 1}, 12, 2), ({7: 2, 3: 2, 10: 1}, 10, 3), ({}, 10, 0)):
+        plan = bin_completion.bin_completion(counts, capacity)
+        used = {}
+        for filling, times in plan:
+            assert sum(n * k for n, k in filling) <= capacity
+            for n, k in filling:
+                used[n] = used.get(n, 0) + k * times
+        assert used == counts and sum(t for _, t in plan) == bins
+
+
+def test_search_by_brute_force(spark, odd):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(rng.randint(1, 40))) for _ in range(900)]
+    texts[5] = None
+    got = {}
+    for r in block_max_wand.search(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    words = [(t or "").split() for t in texts]
+    mean, df = sum(map(len, words)) / len(words), {}
+    for w in words:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    for q in range(0, 900, 100):
+        scores = []
+        for d, w in enumerate(words):
+            s = sum(np.log(1 + (900 - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x in words[q] if x in w)
+            if d != q and s > 0:
+                scores.append((-round(s, 6), d))
+        want = sorted(scores)[:4]
+        assert [got[q][k + 1][0] for k in range(4)] == [d for _, d in want]
+    assert block_max_wand.search(odd, every=3).where("query_id = 3").count() >= 0
+
+
+def test_quality(spark, odd):
+    rng = random.Random(6)
+    good = [". ".join(" ".join(rng.choice("abcde") * rng.randint(2, 6) for _ in range(12)) for _ in range(3)) + ".\nMore " + "text here. " * 3 for _ in range(60)]
+    bad = ["| ".join(rng.choice("xyz").upper() * 4 + "!!" for _ in range(30)) for _ in range(60)]
+    model = line_crf.fit(good[:40] + bad[:40], [1] * 40 + [0] * 40)
+    assert (model.scores(good[40:]) > 0.5).all() and (model.scores(bad[40:]) < 0.3).all()
+    assert line_crf.score(odd, model).count() == len(ODD)
+    assert line_crf.keep_good(odd, line_crf.Model()).columns == odd.columns
+    assert line_crf.fit([], []).scores(["x"]).tolist() == [0.5]
+
+
+def test_marginals_by_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    sizes, unary, pair = np.array([3, 1, 4]), rng.standard_normal(8), rng.standard_normal((2, 2))
+    p, _ = line_crf.marginals(unary, pair, sizes)
+    at = 0
+    for n in sizes:
+        total, good = 0.0, np.zeros(n)
+        for y in product((0, 1), repeat=int(n)):
+            w = np.exp(sum(unary[at + i] * y[i] for i in range(n)) + sum(pair[y[i], y[i + 1]] for i in range(n - 1)))
+            total += w
+            good += w * np.array(y)
+        assert np.allclose(p[at : at + n], good / total)
+        at += n
+
+
+def test_url_filter(spark):
+    urls = ["http://a.com/x", "https://Example.com/en/1", "http://www.example.com/en/2", "http://b.net/es/x?y", "http://x.net/fr/#z", "http://notcom/x", None, "no scheme", "http://com", "https://free-pills.example.org/buy/now"]
+    weights = url_filter.fit(spark.createDataFrame(url_filter.LABELLED, "url string, label int"))
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), weights).collect()}
+    assert [got[i]["rule"] for i in range(10)] == ["com/", "example.com/en/", "www.example.com/en/", "net/es/", "net/fr/", None, None, None, None, None]
+    assert [got[i].verdict for i in range(5)] == ["allow", "block", "allow", "block", "block"] and got[9].verdict == "block"
+    assert (got[6].host, got[6].path, got[1].host, got[3].path) == ("", "", "example.com", "/es/x")
+    assert url_filter.fit(spark.createDataFrame([], "url string, label int")) == [0.0] * (url_filter.BUCKETS + 1)
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a/ b\r\n", "<p>é</p>", 5), (2, None, "<p>é</p>", 5), (3, "u", None, 5), (4, "u", "", 5), (None, "u", "z" * 200_000, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, sha1 int")
+    archives = warc_zstd.write_archives(df)
+    got = {r.page_id: r for r in warc_zstd.read_archives(archives).collect()}
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("revisit", 4), 4: ("response", None), None: ("response", None)}
+    assert got[1].payload_bytes == 9 and got[1].payload_digest == warc_zstd.digest("<p>é</p>".encode())
+    content = archives.first().content
+    assert len([warc_zstd.parse(r) for r in warc_zstd.records_of(content)]) >= 1
+    for broken in (content[:-3], content[:-9] + bytes([content[-9] ^ 255]) + content[-8:], b"junk" + content):
+        with pytest.raises(warc_zstd.WarcError):
+            for r in warc_zstd.records_of(broken):
+                warc_zstd.parse(r)
+    assert warc_zstd.read_archives(warc_zstd.write_archives(df.limit(0))).count() == 0
+
+
+def test_pieces_match_the_library(spark, odd):
+    import public_tokenizers
+    from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor, sentencepiece_model_pb2
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, mine = SentencePieceProcessor(model_file=path), piece_encoding.OffsetEncoder(path)
+    texts = ["", "  a  b ", "▁x y▁▁", "tab\tx\nnew  line ", "\U0001f600 emojí", "Σίσυφος", "\0 z", "word " * 9, "é́ É"]
+    for t, (ids, begin, end, decimals) in zip(texts, mine.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(t) and decimals.decode() == ",".join(map(str, library.encode(t)))
+        assert [(p.begin, p.end) for p in library.encode(t, return_type="proto").pieces] == list(zip(begin.tolist(), end.tolist(), strict=True))
+    for rule in ("nmt_nfkc", "nfkc_cf"):
+        norm = SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(norm.serialized_model_proto())
+        enc = piece_encoding.OffsetEncoder.__new__(piece_encoding.OffsetEncoder)
+        enc.map, enc.prefix, enc.squeeze = piece_encoding.CharacterMap(model.normalizer_spec.precompiled_charsmap), True, True
+        for t in [*texts, "ﬁ ｶﾞ ①㌔  Ａ", "각"]:
+            assert enc.normalise(t)[0] == norm.normalize(t)
+    rows = piece_encoding.digests(odd, path).collect()
+    assert len(rows) == len(ODD)
+    for r in rows:
+        if r.doc_id == 4:
+            ids = library.encode(LONG)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+
+
+def test_sharding(spark, odd):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("té").alias("text"))
+    got = hash_tree.assign(df, hash_tree.lay_out(40, 40), hash_tree.lay_out(41, 40)).toPandas()
+    assert set(got[got["shard"] != got["grown_shard"]]["grown_shard"]) == {40} and (got["size"] == 19).all() and (got["text_crc32"] == zlib.crc32("té".encode())).all()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    assert got.groupby("shard").size().between(50, 160).all() and got["shard"].nunique() == 40
+    heavy = hash_tree.Node("", children=[hash_tree.Node("a", children=[hash_tree.Node("k", children=[hash_tree.Node("s", 3.0, 0)])]), hash_tree.Node("b", children=[hash_tree.Node("k", children=[hash_tree.Node("s", 1.0, 1)])])])
+    assert 0.7 < (hash_tree.assign(df, heavy, heavy).toPandas()["shard"] == 0).mean() < 0.8
+    assert hash_tree.assign(odd, hash_tree.lay_out(40, 40), hash_tree.lay_out(41, 40)).count() == len(ODD)
