@@ -150,7 +150,10 @@ def test_bin_completion_is_optimal_where_known():
         assert used == counts and sum(t for _, t in plan) == bins
 
 
-def test_search_by_brute_force(spark, odd):
+def test_search_by_brute_force(spark, odd, monkeypatch):
+    # many shards a task, several blocks of queries, and one that is too large and is split
+    for name, value in {"SHARD_POSTINGS": 700, "QUERY_TERMS": 60, "MOST_TERMS": 70}.items():
+        monkeypatch.setattr(block_max_wand, name, value)
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(rng.randint(1, 40))) for _ in range(900)]
     texts[5] = None
@@ -173,6 +176,12 @@ def test_search_by_brute_force(spark, odd):
     assert block_max_wand.search(odd, every=3).where("query_id = 3").count() >= 0
 
 
+def test_search_of_nothing(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, score double, query long")
+    assert block_max_wand.search(none).count() == 0
+    assert block_max_wand.search(spark.createDataFrame([(0, ""), (1, None), (None, "a")], "doc_id long, text string"), every=1).count() == 0
+
+
 def test_quality(spark, odd):
     rng = random.Random(6)
     good = [". ".join(" ".join(rng.choice("abcde") * rng.randint(2, 6) for _ in range(12)) for _ in range(3)) + ".\nMore " + "text here. " * 3 for _ in range(60)]
