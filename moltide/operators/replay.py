@@ -86,3 +86,42 @@ def benjamini_hochberg(df: DataFrame, p: str, to: str = "q", by: list[str] | Non
     ranked = df.withColumn("__r", F.row_number().over(w.orderBy(p))).withColumn("__n", F.count("*").over(w))
     down = w.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn(to, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(down))).drop("__r", "__n")
+
+
+def candidates(rows: DataFrame, tx: DataFrame, of: str = "gene_id", strand: str = "forward") -> DataFrame:
+    """Distinct evidence rows (with `copies`) and the set of genes or transcripts (`of`) that fit each; rows that nothing fits stay."""
+    keys = ["sample", "cell", "umi_class", "chrom", "strand_rev", "weight", "blocks"]
+    p = placements(rows).groupBy(*keys).agg(F.count("*").alias("copies"))
+    p = p.withColumn("start", span_start(F.col("blocks"))).withColumn("end", span_end(F.col("blocks"))).withColumn("tile", F.explode(tiles(F.col("start"), F.col("end"))))
+    t = tx.select("chrom", F.col("strand_rev").alias("gene_rev"), "exons", of).withColumn("tile", F.explode(tiles(span_start(F.col("exons")), span_end(F.col("exons")))))
+    same = {"forward": F.col("strand_rev") == F.col("gene_rev"), "reverse": F.col("strand_rev") != F.col("gene_rev"), "unstranded": F.lit(True)}[strand]
+    fits = F.coalesce(same & concordant(F.col("blocks"), F.col("exons")), F.lit(False))
+    return p.join(t, ["chrom", "tile"], "left").groupBy(*keys, "copies").agg(F.array_sort(F.collect_set(F.when(fits, F.col(of)))).alias("found"))
+
+
+def audit(rows: DataFrame, tx: DataFrame) -> DataFrame:
+    """Evidence rows and their read weight by whether no gene, one gene or more fit."""
+    bucket = F.when(F.size("found") == 0, "none").when(F.size("found") == 1, "single").otherwise("multi")
+    return candidates(rows, tx).groupBy(bucket.alias("bucket")).agg(F.sum("copies").alias("rows_"), F.sum(F.col("copies") * F.col("weight")).alias("reads"))
+
+
+def fates(rows: DataFrame, tx: DataFrame) -> DataFrame:
+    """Classes of each cell by the genes that fit their rows."""
+    one, more = (F.max((F.size("found") == 1).cast("int")) == 1), (F.max((F.size("found") > 1).cast("int")) == 1)
+    fate = F.when(one & more, "mixed").when(one, "single").when(more, "multi_only").otherwise("no_gene")
+    return candidates(rows, tx).groupBy("cell", "umi_class").agg(fate.alias("fate")).groupBy("fate").agg(F.count("*").alias("classes"), F.count_distinct("cell").alias("cells"))
+
+
+def equivalence_classes(rows: DataFrame, tx: DataFrame) -> DataFrame:
+    """Transcript equivalence classes: the transcripts that fit every row of a class, with how many classes and cells have them.
+
+    A class with a row that nothing fits has no compatible set, and one whose rows share no transcript is in conflict.
+    Sets meet by counting: a transcript stays if as many rows name it as the class has.
+    """
+    c = candidates(rows, tx, "transcript_id")
+    each = c.groupBy("cell", "umi_class").agg(F.count("*").alias("n"), F.count_if(F.size("found") == 0).alias("unmatched"))
+    held = c.withColumn("t", F.explode("found")).groupBy("cell", "umi_class", "t").agg(F.count("*").alias("k")).join(each, ["cell", "umi_class"]).where("k = n - unmatched")
+    sets = held.groupBy("cell", "umi_class").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    status = F.when(F.col("unmatched") > 0, "no_compatible").when(F.col("ts").isNull(), "conflict").otherwise("assigned")
+    named = each.join(sets, ["cell", "umi_class"], "left").withColumn("status", status).withColumn("ts", F.when(F.col("status") == "assigned", F.col("ts")))
+    return named.groupBy("status", F.sha2(F.array_join("ts", ","), 256).alias("ec_id"), F.coalesce(F.size("ts"), F.lit(0)).alias("transcripts")).agg(F.count("*").alias("classes"), F.count_distinct("cell").alias("cells"))

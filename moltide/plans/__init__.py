@@ -1 +1,5 @@
+"""Registered queries."""
 
+from . import catalogue, more
+
+__all__ = ["catalogue", "more"]
