@@ -254,7 +254,8 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
     found = materialise(seeds(docs), "seeds")
-    keys = found.groupBy("h").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("h", "rep")
+    # a written table, so that the join reads plain exchanges, of which adaptive execution can split a seed that many documents hold
+    keys = materialise(found.groupBy("h").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("h", "rep"), "keys")
     shared = materialise(found.join(keys, "h"), "shared")
     first = materialise(shared.where("doc = rep").groupBy("h").agg(F.min("at").alias("rat")), "first")
     anchors = shared.where("doc <> rep").join(first, "h")
