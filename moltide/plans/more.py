@@ -10,6 +10,7 @@ from ..operators import ingest as I
 from ..operators import queries as Q
 from ..operators import replay as R
 from ..sources import evidence as E
+from . import pipeline_language as L
 from .catalogue import COUNTS, EVENTS, FORWARD, ORACLES, OVER, THREE, cand, register, tx_of
 
 SQL = "z as (select 1) "
@@ -192,3 +193,59 @@ def fn_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("q"))
     ip = N.priming(F.col("q"), F.lit(100))
     return p.select("doc_id", ip["a20"].alias("a20"), ip["run"].alias("run"), N.signal(F.col("q"), F.lit(100)).alias("motif"))
+
+
+def ov(a: str, b: str) -> str:
+    return f"greatest(0, least({b}, 420) - greatest({a}, 300))"
+
+
+#: Records that a placement puts into chr1:280-1080.
+SEEN = "sn as (select distinct record_id from al where chrom = 'chr1' and (s1 < 1080 and e1 > 280 or n_junc >= 1 and s2 < 1080 and e2 > 280 or n_junc = 2 and s3 < 1080 and e3 > 280)),"
+WHOLE = f"greatest({ov('s1', 'e1')}, case when n_junc >= 1 then {ov('s2', 'e2')} else 0 end, case when n_junc = 2 then {ov('s3', 'e3')} else 0 end)"
+#: The omitted alignment of two representatives that start apart: what it overlaps at least and at most.
+LEAST = f"case n_junc when 0 then 0 when 1 then greatest({ov('s1', 'e1')}, {ov('s2', 's2 + 1')}) else greatest({ov('s1', 'e1')}, {ov('s2', 'e2')}, {ov('s3', 's3 + 1')}) end"
+MOST = f"case n_junc when 0 then {ov('s1 - 5', '1e9')} when 1 then greatest({ov('s1 - 5', 'e1')}, {ov('s2', '1e9')}) else greatest({ov('s1 - 5', 'e1')}, {ov('s2', 'e2')}, {ov('s3', '1e9')}) end"
+
+
+def program(name: str, text: str, sql: str) -> None:
+    register(name, sql)(lambda rows: L.query(text, rows))
+
+
+program(
+    "gq_run_tally",
+    """header {gq = 1} # states of a record's predicates, jointly
+    let RO = j[chr1:300..480]
+    fn covers(r, least) = overlaps(r, min: least)
+    from @x.records
+    |> within g[chr1:280..1080]
+    |> derive { ra = any unique { covers(g[chr1:300..420], 12bp) }, ro = any unique { RO }, st = all stored { !RO } }
+    |> tally {ra, ro, st} by {sample}""",
+    SEEN + f"""o as (select record_id, {WHOLE} >= 12 as p, n_junc >= 1 and e1 = 300 and s2 = 480 or n_junc = 2 and e2 = 300 and s3 = 480 as q from al where not is_mm and chrom = 'chr1'
+    union all select record_id, case when {LEAST} >= 12 then true when {MOST} < 12 then false end, false from al where rep_idx = 1 and weight > 2 and chrom = 'chr1'),
+    r as (select record_id, case when count(*) filter (p) > 0 then 'true' when count(*) filter (p is null) > 0 then 'unknown' else 'false' end as ra, bool_or(q) as ro from o group by record_id)
+    select sample, coalesce(ra, 'false') as ra_state, case when coalesce(ro, false) then 'true' else 'false' end as ro_state, case when coalesce(ro, false) then 'false' else 'true' end as st_state, count(*) as count from rec join sn using (record_id) left join r using (record_id) group by all""",
+)
+program(
+    "gq_run_classes",
+    """header {gq = 1}
+    from @x.classes |> within j[chr1:300..480]
+    |> where any record { any unique { j[chr1:300..480] & !near(j[chr1:500..681], left: 0bp, right: 1bp) } } & reads.total >= 3u64
+    |> summarize {n = count(), reads = sum(reads.total), unique = sum(reads.unique)} by {sample}""",
+    """w as (select distinct sample, cell, umi_class from aj where chrom = 'chr1' and donor = 300 and acceptor = 480),
+    p as (select distinct sample, cell, umi_class from al where not is_mm and chrom = 'chr1' and (n_junc >= 1 and e1 = 300 and s2 = 480 or n_junc = 2 and e2 = 300 and s3 = 480) and not (n_junc >= 1 and e1 = 500 and abs(s2 - 681) <= 1 or n_junc = 2 and e2 = 500 and abs(s3 - 681) <= 1)),
+    u as (select rec.sample, sum(weight) as t, sum(case when is_mm then 0 else weight end) as q from rec join w on w.cell = rec.cell and w.umi_class = rec.umi_class join p on p.cell = rec.cell and p.umi_class = rec.umi_class group by rec.sample, rec.cell, rec.umi_class having sum(weight) >= 3)
+    select sample, count(*) as n, cast(sum(t) as bigint) as reads, cast(sum(q) as bigint) as unique from u group by sample""",
+)
+program(
+    "gq_run_select",
+    """header {gq = 1}
+    from @x.cells |> within all
+    |> derive {u = fraction(reads.unique, denominator: reads.total)}
+    |> select {unit.id, reads.total, u} |> sort {reads.total} |> take 30""",
+    "c as (select sample, cell, sum(weight) as t, sum(case when is_mm then 0 else weight end) as q from rec group by all) select sample || ':' || cell as unit_id, cast(t as bigint) as reads_total, cast(q as double) / t as u from c order by reads_total, unit_id, u limit 30",
+)
+program(
+    "gq_run_junctions",
+    "header {gq = 1} from junctions(@x, within: g[chr1:280..1080]) |> support(unit: class, by: {sample})",
+    SQL + "select sample, cast(donor as bigint) as donor, cast(acceptor as bigint) as acceptor, count(distinct umi_class) as support from aj where not is_mm and chrom = 'chr1' and donor >= 280 and acceptor <= 1080 group by all",
+)
