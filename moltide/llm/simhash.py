@@ -229,9 +229,72 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Near copies by similarity: fingerprints of two-word shingles differ in at most so many bits where five-word shingles
-#: agree to 0.8; a sketch of 64 minima of 4 bits rules out unrelated texts; then whole shingle sets decide.
+#: Most near copies by similarity: fingerprints of two-word shingles differ in few bits where texts differ in scattered
+#: words; a sketch of 64 minima of 4 bits rules out unrelated texts. What this misses is found by prefixes of shingle sets.
 NEAR_SHINGLE, NEAR_BITS, SKETCH, SKETCH_LEAST = 2, 9, 64, 0.6
+#: Share and least number of rows in which frequent shingles are counted, how often one is seen there, and how many are kept.
+COUNTED, COUNTED_ROWS, FREQUENT, FREQUENT_MOST = 0.1, 5_000, 3, 200_000
+
+
+def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (rising) that a sample of docs (doc_id, text) repeats, and their counts."""
+    rows = docs.count()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(text, shingle)).view(np.int64))], ["h"])
+
+    part = docs.select("text").sample(min(1.0, max(COUNTED, COUNTED_ROWS / max(rows, 1))), seed=11)
+    counts = materialise(part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "counts")
+    least, held = FREQUENT, 0
+    for c, n in sorted(map(tuple, counts.groupBy("c").count().collect()), reverse=True):
+        held += n
+        if held > FREQUENT_MOST:
+            least = c + 1
+            break
+    found = counts.where(F.col("c") >= least).toPandas()
+    discard(counts)
+    h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set of shingles, rare ones first, so many that any set that is alike enough has one of them in its own prefix.
+
+    The order is the same for all sets, by count among the frequent ones and then by hash, whatever was counted.
+    """
+    count = np.zeros(len(h), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
+        count = np.where(frequent[0][at] == h, frequent[1][at], 0)
+    return h[np.lexsort((h, count))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def prefix_candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (node, label, size, prefix) of different labels, among them all whose sets are alike enough.
+
+    Prefixes of alike sets meet, that of the smaller one within its first size - least + 1 shingles, where least is what two
+    sets of its size must share. Sizes and places of a shingle that both hold bound what they can share.
+    """
+    share = similarity / (1 + similarity)
+    held = nodes.select("node", "label", "size", F.posexplode("prefix").alias("at", "h"))
+    # shingles of one label alone make no pairs; a written table, so that the joins read plain exchanges
+    keys = materialise(held.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h"), "keys")
+    met = materialise(held.join(keys, "h"), "met")
+    names = ["node", "label", "size", "at"]
+    x = met.where(F.col("at") <= F.col("size") - F.ceil(2 * share * F.col("size") - 1e-9)).select("h", *[F.col(k).alias(f"x_{k}") for k in names])
+    y = met.select("h", *[F.col(k).alias(f"y_{k}") for k in names])
+    n, m = F.col("x_size"), F.col("y_size")
+    apart = (F.col("x_label") != F.col("y_label")) & ((n < m) | ((n == m) & (F.col("x_node") < F.col("y_node")))) & (n >= similarity * m - 1e-9)
+    most = F.least("x_at", "y_at") + 1 + F.least(n - F.col("x_at"), m - F.col("y_at")) - 1
+    pairs = x.join(y, (x["h"] == y["h"]) & apart & (most >= share * (n + m) - 1e-9))
+    out = materialise(pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "pairs")
+    discard(keys, met)
+    return out
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -251,12 +314,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """doc_id and group_id of the rows whose text has copies or near copies among other rows; group_id is the smallest id of the group.
 
     Equal texts are one node; nodes link if the Jaccard similarity of their sets of `shingle` words is `similarity` or
-    more, checked on whole texts for each link of the shards' forests. Rows with a null id take no part. Texts without
-    words are copies of each other only if they are equal.
+    more, checked on whole texts. Links are looked for twice: first along the shards' forests of near fingerprints, which
+    joins large groups at little cost, then, between texts that are still apart, by all pairs whose prefixes meet, which
+    leaves out no pair. Rows with a null id take no part. Texts without words are copies of each other only if they are
+    equal.
     """
     spark = df.sparkSession
     tune_arrow(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -265,30 +331,48 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             texts = batch.column(1).to_pylist()
             fps = np.array([fingerprint(x, NEAR_SHINGLE) for x in texts], np.uint64).view(np.int64)
             digests = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
-            sketches = [sketch(hashes(x, shingle)) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "fp", "digest", "sketch"])
+            sets = [np.unique(hashes(x, shingle)) for x in texts]
+            sketches, sizes = [sketch(h) for h in sets], [len(h) for h in sets]
+            firsts = [prefix(h, frequent.value, similarity).view(np.int64) if len(h) else [] for h in sets]
+            columns = [batch.column(0), pa.array(fps), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest", "sketch", "size", "prefix"])
 
-    marked = materialise(docs.mapInArrow(run, "doc_id long, fp long, digest binary, sketch binary"), "marked")
-    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes")
-    edges = materialise(links(nodes, NEAR_BITS, SKETCH_LEAST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    marked = materialise(docs.mapInArrow(run, "doc_id long, fp long, digest binary, sketch binary, size int, prefix array<long>"), "marked")
+    kept = [F.first(k).alias(k) for k in ("fp", "sketch", "size", "prefix")]
+    nodes = materialise(marked.groupBy("digest").agg(F.min("doc_id").alias("node"), *kept, F.count("*").alias("copies")), "nodes")
 
     def alike(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sets: dict[int, frozenset] = {}
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = set(hashes(x, shingle).tolist()), set(hashes(y, shingle).tolist())
-                keep.append(len(x & y) >= similarity * len(x | y) > 0)
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(sets) > 500:
+                    sets.clear()
+                for node, text in ((a, x), (b, y)):
+                    if node not in sets:
+                        sets[node] = frozenset(hashes(text, shingle).tolist())
+                n = len(sets[a] & sets[b])
+                keep.append(n >= similarity * (len(sets[a]) + len(sets[b]) - n) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    texts = materialise(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    both = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    tune_arrow(spark, 200)
-    true = both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-    root = materialise(connected_components(true), "roots")
-    discard(texts, edges)
+    def decide(edges: DataFrame) -> DataFrame:
+        wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        texts = materialise(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        both = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        tune_arrow(spark, 200)
+        true = materialise(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "true")
+        discard(texts, edges)
+        return true
+
+    edges = materialise(links(nodes.select("node", "fp", "sketch"), NEAR_BITS, SKETCH_LEAST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    true = decide(edges)
+    root = connected_components(true)
+    labelled = materialise(nodes.select("node", "size", "prefix").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "size", "prefix"), "labelled")
+    more = decide(prefix_candidates(labelled, similarity))
+    root = materialise(connected_components(true.union(more)), "roots")
+    discard(labelled, true, more)
     # the smallest node is the smallest id, as a node's number is its smallest id
     grouped = nodes.join(root, "node", "left").where("copies > 1 or root is not null").select("digest", F.coalesce("root", "node").alias("group_id"))
     return marked.join(materialise(grouped, "grouped"), "digest").select("doc_id", "group_id")

@@ -272,3 +272,27 @@ def test_sharding(spark, odd):
     heavy = hash_tree.Node("", children=[hash_tree.Node("a", children=[hash_tree.Node("k", children=[hash_tree.Node("s", 3.0, 0)])]), hash_tree.Node("b", children=[hash_tree.Node("k", children=[hash_tree.Node("s", 1.0, 1)])])])
     assert 0.7 < (hash_tree.assign(df, heavy, heavy).toPandas()["shard"] == 0).mean() < 0.8
     assert hash_tree.assign(odd, hash_tree.lay_out(40, 40), hash_tree.lay_out(41, 40)).count() == len(ODD)
+
+
+def near_labels(texts, similarity=0.8):
+    """By brute force: the smallest number of each text's group, for those that are not alone."""
+    sets = [set(simhash.hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= similarity * len(x | y)]
+    roots = dict(zip(*(c.tolist() for c in star_components(*np.array(pairs).T)), strict=True))
+    return roots | {r: r for r in roots.values()}
+
+
+def test_near_groups_of_separately_edited_copies(spark):
+    rng = random.Random(12)
+    new = lambda: "".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4))
+    base = [new() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(3, 7)):
+            words[at] = new()
+        texts.append(" ".join(words))
+    want = near_labels(texts)
+    assert len(want) > 150
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
