@@ -296,3 +296,25 @@ def test_near_groups_of_separately_edited_copies(spark):
     assert len(want) > 150
     got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_near_groups_of_copies_edited_in_one_piece(spark):
+    rng = random.Random(13)
+    new = lambda n: ["".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    line, texts = new(12), []
+    for k in range(240):
+        base = new(rng.randint(150, 300)) + line
+        n, j = len(base), rng.uniform(0.78, 0.9)
+        texts.append(" ".join(base))
+        if k % 3 == 0:
+            base = base + new(int(n / j) - n)
+        elif k % 3 == 1:
+            base = base[: int(n * j)]
+        else:
+            size = int(n * (1 - j) / (1 + j))
+            base = base[:40] + new(size) + base[40 + size :]
+        texts.append(" ".join(base))
+    want = near_labels(texts)
+    assert 300 < len(want) < 480
+    got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
