@@ -2,10 +2,11 @@
 
 Words are runs of letters and digits, case folded. From every text come seeds, the k-mers of words that are least by hash
 in some window of WINDOW neighbouring k-mers: an equal run of WINDOW + K - 1 words has one seed at least. A seed that
-several documents hold links each of them to the first (by id) that holds it, never all to all. Between two documents,
-seeds are chained in order, a chain paying for the gaps between its seeds; a Fenwick tree of best prefixes finds the best
-chain to extend. Chains are aligned word by word over the texts around them, and what aligns well enough is a passage.
-Passages of a document that touch are merged, whatever documents they come from, and those of MIN_WORDS or more stay.
+several documents hold links each of them to the first (by id) that holds it and to the one before it, never all to all.
+Between two documents, seeds are chained in order, a chain paying for the gaps between its seeds; a Fenwick tree of best
+prefixes finds the best chain to extend. A single seed is a chain too. Chains are aligned word by word over the texts
+around them until the texts no longer agree, and what aligns well enough is a passage. Passages of a document that touch
+are merged, whatever documents they come from, and those of MIN_WORDS or more stay.
 
 A null or short text has no seeds. Rows with a null id have no passages and keep their text. Rows that repeat an id with
 other texts are told apart no further: give ids that are unique. Passages that only repeat within one document are not
@@ -20,12 +21,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, tune_arrow
+from .common import discard, materialise, table, tune_arrow
 
-K, WINDOW = 6, 16
+K, WINDOW = 4, 6
 #: What a seed adds to a chain's score and what each character of a gap, in either text, takes away.
 SEED_SCORE, GAP_COST = 8.0, 0.016
-LEAST_SEEDS, SIMILARITY, MIN_WORDS, MARGIN = 2, 0.7, 40, 400
+#: Fewer aligned words than LEAST_WORDS are chance. MARGIN: characters around a chain; more where an alignment reaches the end.
+LEAST_SEEDS, LEAST_WORDS, SIMILARITY, MIN_WORDS, MARGIN = 1, 7, 0.7, 40, 160
+#: What a word that differs takes from an alignment's score, how far the score may fall, and how many words an edit spans.
+PENALTY, DROP, LOOK = SIMILARITY / (1 - SIMILARITY), 16.0, 8
+#: Holders from which a seed is hot: its rows are dealt by ranges of ids; and places times places that are all paired.
+HOT, RANGES, PLACES = 1_000, 64, 64
 MULT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -110,7 +116,7 @@ def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """h, doc and at of the seeds of docs (doc, text)."""
+    """h, doc and the places (at, rising) of each seed of docs (doc, text)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -118,14 +124,50 @@ def seeds(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             text, h, at = seeds_of(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(at.astype(np.int32))], ["h", "doc", "at"])
+            order = np.lexsort((at, h, text))
+            text, h, at = text[order], h[order], at[order].astype(np.int32)
+            first = np.nonzero(np.append(True, (np.diff(text) != 0) | (h[1:] != h[:-1])))[0] if len(h) else text
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[text[first]]), places], ["h", "doc", "at"])
 
-    return docs.mapInArrow(run, "h long, doc long, at int")
+    return docs.mapInArrow(run, "h long, doc long, at array<int>")
+
+
+def anchors_of(docs: DataFrame) -> DataFrame:
+    """doc, rep, at and rat: the places of each seed in a document and in the first one and the one before that hold it."""
+    found = materialise(seeds(docs), "seeds")
+    # a written table, so that the join reads plain exchanges, of which adaptive execution can split a seed that many documents hold
+    keys = materialise(found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "first", "n"), "keys")
+    cuts = sorted({int(x) for x in docs.approxQuantile("doc", [k / RANGES for k in range(1, RANGES)], 0.005)})
+    within = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("doc"))) if cuts else F.lit(0)
+    shared = materialise(found.join(keys, "h").withColumn("range", F.when(F.col("n") > HOT, within).otherwise(0)), "shared")
+    discard(found, keys)
+    one = Window.partitionBy("h", "range").orderBy("doc")
+    held = F.struct("doc", "at")
+    lagged = materialise(shared.withColumn("prior", F.lag(held).over(one)).select("h", "range", "doc", "at", "first", "n", "prior"), "lagged")
+    # of a hot seed the first of a range follows the last of the range before
+    ends = shared.where(F.col("n") > HOT).groupBy("h", "range").agg(F.max_by(held, "doc").alias("end"))
+    ends = ends.select("h", "range", F.lag("end").over(Window.partitionBy("h").orderBy("range")).alias("prior")).where("prior is not null")
+    over = lagged.where((F.col("n") > HOT) & F.col("prior").isNull()).drop("prior").join(ends, ["h", "range"]).select("doc", "at", "prior")
+    before = lagged.where("prior is not null").select("doc", "at", "prior").union(over).select("doc", "at", F.col("prior.doc").alias("rep"), F.col("prior.at").alias("rat"))
+    # the first holder, where it is not the one before
+    start = materialise(shared.where("doc = first").groupBy("h").agg(F.first("at").alias("rat")), "first")
+    far = lagged.where("doc <> first and (prior is null or prior.doc <> first)").select("h", "doc", "at", F.col("first").alias("rep"))
+    links = before.where("doc <> rep").select("doc", "rep", "at", "rat").union(far.join(start, "h").select("doc", "rep", "at", "rat"))
+    # a seed at very many places of both texts pairs them in order, from the front and from the back
+    some = F.concat(F.arrays_zip("at", "rat"), F.arrays_zip(F.reverse("at").alias("at"), F.reverse("rat").alias("rat")))
+    some = F.filter(some, lambda p: p["at"].isNotNull() & p["rat"].isNotNull())
+    each = F.flatten(F.transform("at", lambda p: F.transform("rat", lambda q: F.struct(p.alias("at"), q.alias("rat")))))
+    pairs = F.when(F.size("at") * F.size("rat") <= PLACES, each).otherwise(some)
+    return links.select("doc", "rep", F.explode(pairs).alias("p")).select("doc", "rep", F.col("p.at").alias("at"), F.col("p.rat").alias("rat")).distinct()
 
 
 def best_chains(a: list[int], b: list[int]) -> list[list[int]]:
     """Chains (positions of seeds, in order) of the seeds at a (rising) and b; each seed is in one chain at most."""
     n = len(a)
+    steps = np.diff(a), np.diff(b)
+    if (steps[0] > 0).all() and (steps[1] > 0).all() and (GAP_COST * (steps[0] + steps[1]) < SEED_SCORE).all():
+        return [list(range(n))] if n >= LEAST_SEEDS else []
     ranks = {v: i + 1 for i, v in enumerate(sorted(set(b)))}
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (len(ranks) + 1)
     score, link = [SEED_SCORE] * n, [-1] * n
@@ -213,38 +255,61 @@ def common_words(x: list[int], y: list[int]) -> int:
     return n + row[-1]
 
 
-def extend(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """How far (positions, and equal words) the alignment goes on from i, j; over single edits with equal words beyond."""
-    same = 0
-    inside = lambda p, q: 0 <= p < len(x) and 0 <= q < len(y)
+def extend(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int, int, int, bool]:
+    """How far (positions, and equal words) the alignment goes on from i, j, and whether it came to the end of either text.
+
+    An edit is crossed where two words (at an end of a text, one) agree beyond it; the alignment ends at its best score
+    once the score has fallen by DROP or no such place is near.
+    """
+    n, m = (len(x) - 1 - i, len(y) - 1 - j) if step > 0 else (i, j)  # words left
+    x, y = (x[i + 1 :], y[j + 1 :]) if step > 0 else (x[:i][::-1], y[:j][::-1])
+    p = q = same = 0
+    score = 0.0
+    best = (0.0, 0, 0, 0)
     while True:
-        if inside(i + step, j + step) and x[i + step] == y[j + step]:
-            i, j, same = i + step, j + step, same + 1
-            continue
-        for p, q in ((2, 2), (2, 1), (1, 2)):
-            if inside(i + step * (p + 1), j + step * (q + 1)) and x[i + step * p] == y[j + step * q] and x[i + step * (p + 1)] == y[j + step * (q + 1)]:
-                i, j, same = i + step * (p + 1), j + step * (q + 1), same + 2
+        while p < n and q < m and x[p] == y[q]:
+            p, q, same, score = p + 1, q + 1, same + 1, score + 1
+        if score > best[0]:
+            best = (score, p, q, same)
+        if score < best[0] - DROP:
+            end = False
+            break
+        near = None
+        for span in range(1, 2 * LOOK + 1):
+            # substitutions first, then by how uneven the edit is
+            for u in sorted(range(max(0, span - LOOK), min(span, LOOK) + 1), key=lambda u: abs(2 * u - span)):
+                v = span - u
+                if p + u < n and q + v < m and x[p + u] == y[q + v] and (p + u + 1 == n or q + v + 1 == m or x[p + u + 1] == y[q + v + 1]):
+                    near = (u, v)
+                    break
+            if near:
                 break
-        else:
-            return i, j, same
-
-
-def align(text: str, other: str, a: list[int], b: list[int]) -> tuple[int, int, int, float] | None:
-    """Begin and end (characters of text), words and similarity of the passage around a chain; None if it isn't alike enough."""
-    h, begin, end, _ = words_of([text])
-    g, start, _, _ = words_of([other])
-    i, j = np.searchsorted(begin, a).tolist(), np.searchsorted(start, b).tolist()
-    x, y = h.tolist(), g.tolist()
-    if i[-1] >= len(x) or j[-1] >= len(y):
-        return None
-    same = sum(common_words(x[p:q], y[r:s]) for p, q, r, s in zip(i, i[1:], j, j[1:], strict=False))
-    i0, j0, before = extend(x, y, i[0], j[0], -1)
-    i1, j1, after = extend(x, y, i[-1], j[-1], 1)
-    same += before + after + 1
-    n, m = i1 - i0 + 1, j1 - j0 + 1
-    if same < SIMILARITY * max(n, m):
-        return None
-    return int(begin[i0]), int(end[i1]), n, same / max(n, m)
+        if not near:
+            end = n - p <= 2 * LOOK or m - q <= 2 * LOOK
+            break
+        u, v = near
+        kept = common_words(x[p : p + u], y[q : q + v])
+        score += kept - PENALTY * (max(u, v) - kept)
+        p, q, same = p + u, q + v, same + kept
+    return i + step * best[1], j + step * best[2], best[3], end
+
+
+def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[int, int, int, float, bool, bool]]:
+    """Parts of the words x that a chain (places i in x and j in y) aligns with y: first and last word, words, similarity, and whether the part came to an end of the words before and after."""
+    parts, same = [], 0
+    begin = 0
+    for t in range(1, len(i) + 1):
+        kept = common_words(x[i[t - 1] : i[t]], y[j[t - 1] : j[t]]) if t < len(i) else 0
+        if t < len(i) and kept - PENALTY * (max(i[t] - i[t - 1], j[t] - j[t - 1]) - kept) >= -DROP:
+            same += kept
+            continue
+        i0, j0, before, low = extend(x, y, i[begin], j[begin], -1)
+        i1, j1, after, high = extend(x, y, i[t - 1], j[t - 1], 1)
+        n, m, all_same = i1 - i0 + 1, j1 - j0 + 1, same + before + after + 1
+        if n >= LEAST_WORDS and all_same >= SIMILARITY * max(n, m):
+            parts.append((i0, i1, n, all_same / max(n, m), low, high))
+        begin, same = t, 0
+    return parts
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -253,35 +318,61 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     tune_arrow(spark, 400)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    found = materialise(seeds(docs), "seeds")
-    # a written table, so that the join reads plain exchanges, of which adaptive execution can split a seed that many documents hold
-    keys = materialise(found.groupBy("h").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").select("h", "rep"), "keys")
-    shared = materialise(found.join(keys, "h"), "shared")
-    first = materialise(shared.where("doc = rep").groupBy("h").agg(F.min("at").alias("rat")), "first")
-    anchors = shared.where("doc <> rep").join(first, "h")
+    anchors = anchors_of(docs)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    found = materialise(chains(anchors), "chains")
-    low, high = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0)), lambda c: F.element_at(c, -1) + MARGIN
-    cut = lambda c: F.substring(F.col("text"), low(c) + 1, high(c) - low(c))
-    tune_arrow(spark, 400)
-    chained = found.select("doc", "rep", "a", "b", low("a").alias("base"), low("b").alias("from"))
-    own = docs.join(found.select("doc").distinct(), "doc", "left_semi").join(chained, "doc").select("doc", "rep", "a", "b", "base", "from", cut("a").alias("x"))
-    source = docs.withColumnRenamed("doc", "rep").join(found.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    # a source that a third of all documents share is split on the side of the chains
-    pairs = materialise(own, "own").join(materialise(source, "sources"), "rep").select("doc", "rep", "a", "b", "base", "from", "x", cut("b").alias("y"))
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, rep, a, b, base, start, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if got := align(x, y, [p - base for p in a], [p - start for p in b]):
-                    rows.append((doc, base + got[0], base + got[1], got[2], got[3], rep))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "words", "similarity", "rep"])
-
-    aligned = materialise(pairs.mapInArrow(run, "doc_id long, start int, end int, words int, similarity double, rep long").distinct(), "aligned")
+    todo = materialise(chains(anchors), "chains")
+    margin, done = MARGIN, []
+
+    def aligned_within(found: DataFrame, margin: int) -> DataFrame:
+        low, high = lambda c: F.greatest(F.element_at(c, 1) - margin, F.lit(0)), lambda c: F.element_at(c, -1) + margin
+        cut = lambda c: F.substring(F.col("text"), low(c) + 1, high(c) - low(c))
+        tune_arrow(spark, 400)
+        chained = found.select("doc", "rep", "a", "b", low("a").alias("base"), low("b").alias("from"))
+        own = docs.join(found.select("doc").distinct(), "doc", "left_semi").join(chained, "doc").select("doc", "rep", "a", "b", "base", "from", cut("a").alias("x"), (F.char_length("text") > high("a")).alias("more"))
+        source = docs.withColumnRenamed("doc", "rep").join(found.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+        # a source that a third of all documents share is split on the side of the chains
+        own, source = materialise(own, "own"), materialise(source, "sources")
+        pairs = own.join(source, "rep").select("doc", "rep", "a", "b", "base", "from", "x", cut("b").alias("y"), "more", (F.char_length("text") > high("b")).alias("rest"))
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                rows: list[tuple] = []
+                doc, rep, a, b, base, start, x, y, more, rest = (c.to_pylist() for c in batch.columns)
+                xs, ys = words_of(x), words_of(y)
+                x_at, y_at = (np.searchsorted(w[3], np.arange(len(doc) + 1)) for w in (xs, ys))
+                for k in range(len(doc)):
+                    s, e, u, v = x_at[k], x_at[k + 1], y_at[k], y_at[k + 1]
+                    first, last = xs[1][s:e], xs[2][s:e]
+                    i, j = np.searchsorted(first, np.array(a[k]) - base[k]).tolist(), np.searchsorted(ys[1][u:v], np.array(b[k]) - start[k]).tolist()
+                    if i[-1] >= e - s or j[-1] >= v - u:
+                        continue
+                    for p, q, n, alike, low, high in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j):
+                        # both texts are cut at the same distance; the alignment goes on if either one does
+                        cut = (low and (base[k] > 0 or start[k] > 0)) or (high and (more[k] or rest[k]))
+                        rows.append((doc[k], base[k] + int(first[p]), base[k] + int(last[q]), n, alike, rep[k], bool(cut), a[k], b[k]))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "words", "similarity", "rep", "cut", "a", "b"])
+
+        kinds = "doc_id long, start int, end int, words int, similarity double, rep long, cut boolean, a array<int>, b array<int>"
+        out = materialise(pairs.mapInArrow(run, kinds), "aligned")
+        discard(own, source)
+        return out
+
+    # what comes to the end of a cut is aligned again in longer ones, until all end by themselves or with the texts
+    while True:
+        got = aligned_within(todo, margin)
+        done.append(got.where("not cut").drop("cut", "a", "b"))
+        discard(todo)
+        todo = materialise(got.where("cut").select(F.col("doc_id").alias("doc"), "rep", "a", "b").distinct(), "chains")
+        if todo.isEmpty():
+            break
+        margin *= 4
+    pieces = done[0]
+    for other in done[1:]:
+        pieces = pieces.union(other)
+    aligned = materialise(pieces.distinct(), "aligned")
     by = Window.partitionBy("doc_id").orderBy("start", "end", "rep", "words", "similarity")
     # passages with at most a few words between them are one
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -318,3 +318,21 @@ def test_near_groups_of_copies_edited_in_one_piece(spark):
     assert 300 < len(want) < 480
     got = {r.doc_id: r.group_id for r in simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+
+
+def test_passages_whose_lines_stand_alone_before(spark):
+    rng, texts, want = random.Random(14), [], set()
+    for _ in range(30):
+        lines = [made_words(rng, 14) for _ in range(5)]
+        for line in lines:
+            texts.append(made_words(rng, 30) + line + made_words(rng, 30))
+        passage = sum(lines, [])
+        texts += [made_words(rng, 40) + passage + made_words(rng, 40) for _ in range(2)]
+        want |= {len(texts) - 1}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.words, r.source_doc_id) for r in chain_dedup.passages(df).collect()}
+    assert want <= set(got) and all(got[i][0] >= 70 and got[i][1] == i - 1 for i in want)
