@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, table, tune_arrow
 
-K, WINDOW = 4, 6
+K, WINDOW = 5, 6
 #: What a seed adds to a chain's score and what each character of a gap, in either text, takes away.
 SEED_SCORE, GAP_COST = 8.0, 0.016
 #: Fewer aligned words than LEAST_WORDS are chance. MARGIN: characters around a chain; more where an alignment reaches the end.
@@ -140,18 +140,19 @@ def anchors_of(docs: DataFrame) -> DataFrame:
     keys = materialise(found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "first", "n"), "keys")
     cuts = sorted({int(x) for x in docs.approxQuantile("doc", [k / RANGES for k in range(1, RANGES)], 0.005)})
     within = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("doc"))) if cuts else F.lit(0)
-    shared = materialise(found.join(keys, "h").withColumn("range", F.when(F.col("n") > HOT, within).otherwise(0)), "shared")
-    discard(found, keys)
+    # dealt anew, so that a hot seed's ranges part and the join before it can be split
+    shared = found.join(keys, "h").withColumn("range", F.when(F.col("n") > HOT, within).otherwise(0)).repartition("h", "range")
     one = Window.partitionBy("h", "range").orderBy("doc")
     held = F.struct("doc", "at")
     lagged = materialise(shared.withColumn("prior", F.lag(held).over(one)).select("h", "range", "doc", "at", "first", "n", "prior"), "lagged")
+    discard(found, keys)
     # of a hot seed the first of a range follows the last of the range before
-    ends = shared.where(F.col("n") > HOT).groupBy("h", "range").agg(F.max_by(held, "doc").alias("end"))
+    ends = lagged.where(F.col("n") > HOT).groupBy("h", "range").agg(F.max_by(held, "doc").alias("end"))
     ends = ends.select("h", "range", F.lag("end").over(Window.partitionBy("h").orderBy("range")).alias("prior")).where("prior is not null")
     over = lagged.where((F.col("n") > HOT) & F.col("prior").isNull()).drop("prior").join(ends, ["h", "range"]).select("doc", "at", "prior")
     before = lagged.where("prior is not null").select("doc", "at", "prior").union(over).select("doc", "at", F.col("prior.doc").alias("rep"), F.col("prior.at").alias("rat"))
     # the first holder, where it is not the one before
-    start = materialise(shared.where("doc = first").groupBy("h").agg(F.first("at").alias("rat")), "first")
+    start = materialise(lagged.where("doc = first").groupBy("h").agg(F.first("at").alias("rat")), "first")
     far = lagged.where("doc <> first and (prior is null or prior.doc <> first)").select("h", "doc", "at", F.col("first").alias("rep"))
     links = before.where("doc <> rep").select("doc", "rep", "at", "rat").union(far.join(start, "h").select("doc", "rep", "at", "rat"))
     # a seed at very many places of both texts pairs them in order, from the front and from the back

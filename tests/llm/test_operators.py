@@ -336,3 +336,21 @@ def test_passages_whose_lines_stand_alone_before(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: (r.words, r.source_doc_id) for r in chain_dedup.passages(df).collect()}
     assert want <= set(got) and all(got[i][0] >= 70 and got[i][1] == i - 1 for i in want)
+
+
+def test_recall_of_fuzzy_passages(spark):
+    rng, texts, rates = random.Random(15), [], {}
+    for rate, least in ((0.05, 1.0), (0.1, 0.97), (0.15, 0.93), (0.2, 0.85)):
+        for _ in range(60):
+            passage = made_words(rng, 60)
+            texts.append(made_words(rng, 50) + passage + made_words(rng, 50))
+            edited = list(passage)
+            for at in rng.sample(range(60), round(60 * rate)):
+                edited[at] = made_words(rng, 1)[0]
+            texts.append(made_words(rng, 50) + edited + made_words(rng, 50))
+            rates.setdefault((rate, least), []).append(len(texts) - 1)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id for r in chain_dedup.passages(df).collect()}
+    found = {rate: len(got & set(ids)) / len(ids) for (rate, _), ids in rates.items()}
+    print(found)
+    assert all(found[rate] >= least for rate, least in rates) and got <= {i for ids in rates.values() for i in ids}
