@@ -85,3 +85,19 @@ def signatures(rows: DataFrame) -> DataFrame:
 def splice_table(tx: DataFrame) -> DataFrame:
     """Junctions of an annotation with their strand, as seeds for an aligner."""
     return tx.select("chrom", "strand_rev", F.explode(junctions(F.col("exons"))).alias("j")).select("chrom", "strand_rev", "j.donor", "j.acceptor").distinct()
+
+
+def cell_numbers(rows: DataFrame) -> DataFrame:
+    """cell, n (molecules) and new_id of every cell: ids from 0 by descending n, ties by old id.
+
+    Sorted by range and numbered from the partitions' sizes, so no task holds all cells.
+    """
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "cell")
+    kinds = counts.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", new_id long"
+    return rows.sparkSession.createDataFrame(counts.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), kinds.replace(",", ", "))
+
+
+def renumber_cells(rows: DataFrame) -> DataFrame:
+    """rows with each molecule's cell replaced by its new id."""
+    ids = cell_numbers(rows).select("cell", "new_id")
+    return rows.join(ids, "cell").withColumn("cell", F.col("new_id")).select(*rows.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import ingest
 from ..operators import queries as Q
 from ..operators import replay as R
 from ..sources import evidence as E
@@ -385,6 +386,11 @@ def ing_cell_renumber(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "cell").limit(40)
 
 
+@register("ing_cell_ids", "z as (select cell, count(*) as n from rec group by cell) select cast(cell as bigint) as cell, n, row_number() over (order by n desc, cell) - 1 as new_id from z")
+def ing_cell_ids(rows: DataFrame) -> DataFrame:
+    return ingest.cell_numbers(rows)
+
+
 @register("s_top_cells", "k as (select grp, cell, count(distinct umi_class) as umis from rec group by all) select grp, cast(cell as bigint) as cell, umis from k qualify row_number() over (partition by grp order by umis desc, cell) <= 20")
 def s_top_cells(rows: DataFrame) -> DataFrame:
     w = Q.Window.partitionBy("grp").orderBy(F.col("umis").desc(), "cell")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from moltide.functions import geometry as G
+from moltide.operators import ingest
 from moltide.operators import queries as Q
 from moltide.operators import replay as R
 
@@ -58,3 +59,12 @@ def test_paths(spark):
     b = F.col("b")
     row = df.select(G.has_path(b, [(1, 5), (6, 9)]).alias("x"), G.has_path(b, [(1, 5), (10, 20)]).alias("y"), G.has_subpath(b, [(1, 5), (10, 20)]).alias("z"), G.has_subpath(b, [(10, 20), (1, 5)]).alias("w")).first()
     assert tuple(row) == (True, False, True, False)
+
+
+def test_cells_are_renumbered_beyond_the_first_forty(spark):
+    cells = [(100 - c, k) for c in range(60) for k in range(1 + c % 7)]
+    rows = spark.createDataFrame(cells, "cell long, molecule long")
+    count = {c: sum(x == c for x, _ in cells) for c, _ in cells}
+    want = {c: i for i, c in enumerate(sorted(count, key=lambda c: (-count[c], c)))}
+    assert {r.cell: (r.n, r.new_id) for r in ingest.cell_numbers(rows).collect()} == {c: (count[c], i) for c, i in want.items()}
+    assert sorted(map(tuple, ingest.renumber_cells(rows).collect())) == sorted((want[c], k) for c, k in cells)
