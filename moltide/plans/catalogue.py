@@ -87,8 +87,8 @@ def src_tail_route(rows: DataFrame) -> DataFrame:
     return rows.where("tail is not null").groupBy("chrom", "strand_rev", "tail").agg(Q.umis(), Q.cells())
 
 
-@register("src_gtf", "z as (select 1) select chrom, gene_id, count(*) as transcripts, cast(min(x1s) as bigint) as start, cast(max(x3e) as bigint) as end_ from tx group by all")
-def src_gtf(rows: DataFrame) -> DataFrame:
+@register("src_gene_spans", "z as (select 1) select chrom, gene_id, count(*) as transcripts, cast(min(x1s) as bigint) as start, cast(max(x3e) as bigint) as end_ from tx group by all")
+def src_gene_spans(rows: DataFrame) -> DataFrame:
     return tx_of(rows).groupBy("chrom", "gene_id").agg(F.count("*").alias("transcripts"), F.min(E.span_start(F.col("exons"))).alias("start"), F.max(E.span_end(F.col("exons"))).alias("end_"))
 
 
