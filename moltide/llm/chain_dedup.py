@@ -8,9 +8,10 @@ prefixes finds the best chain to extend. A single seed is a chain too. Chains ar
 around them until the texts no longer agree, and what aligns well enough is a passage. Passages of a document that touch
 are merged, whatever documents they come from, and those of MIN_WORDS or more stay.
 
-A null or short text has no seeds. Rows with a null id have no passages and keep their text. Rows that repeat an id with
-other texts are told apart no further: give ids that are unique. Passages that only repeat within one document are not
-looked for. An empty table gives no rows. Only the named columns are read.
+A null or short text has no seeds. Rows with a null id have no passages and keep their text. Rows of equal id and text are
+one document; rows that repeat an id with another text are documents of their own, in the order of the texts' hashes.
+Passages that only repeat within one document are not looked for. An empty table gives no rows. Only the named columns are
+read.
 """
 
 from __future__ import annotations
@@ -21,17 +22,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table, tune_arrow
+from .common import discard, materialise, ranked, slices, table
 
 K, WINDOW = 5, 6
-#: What a seed adds to a chain's score and what each character of a gap, in either text, takes away.
-SEED_SCORE, GAP_COST = 8.0, 0.016
+#: What a seed adds to a chain's score and what each word of a gap, in either text, takes away.
+SEED_SCORE, GAP_COST = 8.0, 0.1
 #: Fewer aligned words than LEAST_WORDS are chance. MARGIN: characters around a chain; more where an alignment reaches the end.
 LEAST_SEEDS, LEAST_WORDS, SIMILARITY, MIN_WORDS, MARGIN = 1, 7, 0.7, 40, 160
 #: What a word that differs takes from an alignment's score, how far the score may fall, and how many words an edit spans.
 PENALTY, DROP, LOOK = SIMILARITY / (1 - SIMILARITY), 16.0, 8
+#: Words between two passages that are one; alignments that are few enough to be sent to all tasks as a list.
+BETWEEN, FEW = 3, 50_000
 #: Holders from which a seed is hot: its rows are dealt by ranges of ids; and places times places that are all paired.
 HOT, RANGES, PLACES = 1_000, 64, 64
+#: Documents in which hot seeds are looked for, and how many such seeds are listed.
+SAMPLED, MOST_HOT = 5_000, 100_000
+ALIGNED = ["doc", "rep", "start", "end", "first", "last", "similarity", "a", "b", "a_to", "b_to", "a_from", "b_from"]
 MULT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -91,12 +97,12 @@ def window_extreme(x: np.ndarray, w: int, take) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and character position of the seeds, by text and position."""
+def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, word and character position of the seeds, by text and position."""
     h, begin, _, text = words_of(texts)
     n = len(h) - K + 1
     if n <= 0:
-        return begin[:0], h[:0], begin[:0]
+        return begin[:0], h[:0], begin[:0], begin[:0]
     kmer = np.zeros(n, np.uint64)
     for t in range(K):
         kmer = kmer * MULT + h[t : t + n]
@@ -112,61 +118,173 @@ def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = window_extreme(np.where(least == np.iinfo(np.uint64).max, 0, least), WINDOW, np.maximum)
     chosen[WINDOW - 1 : WINDOW - 1 + len(top)] = spread[WINDOW - 1 : WINDOW - 1 + len(top)] == top
     keep = whole & chosen[place]
-    return text[:n][keep], kmer[keep], begin[:n][keep]
+    word = np.arange(n) - np.searchsorted(text, text[:n])
+    return text[:n][keep], kmer[keep], word[keep], begin[:n][keep]
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """h, doc and the places (at, rising) of each seed of docs (doc, text)."""
+def hot_seeds(docs: DataFrame, rows: int) -> np.ndarray:
+    """Seeds (rising) that a sample of docs shows in more than about HOT of the `rows` documents.
+
+    Only where rows are dealt depends on it, not what is found. A sampled document has a bounded number of them, and so has
+    the list: it keeps the most frequent.
+    """
+    part = min(1.0, SAMPLED / max(rows, 1))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 0):
+            text, h, _, _ = seeds_of(batch.column(0).to_pylist())
+            once = np.unique(np.stack([h.view(np.int64), text]), axis=1)[0] if len(h) else h.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(once)], ["h"])
+
+    counts = docs.select("text").sample(part, seed=5).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > max(2, HOT * part)).orderBy(F.col("n").desc(), "h").limit(MOST_HOT).toPandas()
+    return np.sort(found["h"].to_numpy(np.int64))
+
+
+PLACE = "place long"  # word position << 32 | character position
+
+
+def seeds(docs: DataFrame, hot: np.ndarray, cuts: np.ndarray) -> DataFrame:
+    """h, doc and place of each seed of docs (doc, text), and the range of documents to which a hot seed is dealt (0 for others)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy()
-            text, h, at = seeds_of(batch.column(1).to_pylist())
-            order = np.lexsort((at, h, text))
-            text, h, at = text[order], h[order], at[order].astype(np.int32)
-            first = np.nonzero(np.append(True, (np.diff(text) != 0) | (h[1:] != h[:-1])))[0] if len(h) else text
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)).astype(np.int32)), pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[text[first]]), places], ["h", "doc", "at"])
-
-    return docs.mapInArrow(run, "h long, doc long, at array<int>")
-
-
-def anchors_of(docs: DataFrame) -> DataFrame:
-    """doc, rep, at and rat: the places of each seed in a document and in the first one and the one before that hold it."""
-    found = materialise(seeds(docs), "seeds")
-    # a written table, so that the join reads plain exchanges, of which adaptive execution can split a seed that many documents hold
-    keys = materialise(found.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").select("h", "first", "n"), "keys")
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc", [k / RANGES for k in range(1, RANGES)], 0.005)})
-    within = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("doc"))) if cuts else F.lit(0)
-    # dealt anew, so that a hot seed's ranges part and the join before it can be split
-    shared = found.join(keys, "h").withColumn("range", F.when(F.col("n") > HOT, within).otherwise(0)).repartition("h", "range")
-    one = Window.partitionBy("h", "range").orderBy("doc")
-    held = F.struct("doc", "at")
-    lagged = materialise(shared.withColumn("prior", F.lag(held).over(one)).select("h", "range", "doc", "at", "first", "n", "prior"), "lagged")
-    discard(found, keys)
-    # of a hot seed the first of a range follows the last of the range before
-    ends = lagged.where(F.col("n") > HOT).groupBy("h", "range").agg(F.max_by(held, "doc").alias("end"))
-    ends = ends.select("h", "range", F.lag("end").over(Window.partitionBy("h").orderBy("range")).alias("prior")).where("prior is not null")
-    over = lagged.where((F.col("n") > HOT) & F.col("prior").isNull()).drop("prior").join(ends, ["h", "range"]).select("doc", "at", "prior")
-    before = lagged.where("prior is not null").select("doc", "at", "prior").union(over).select("doc", "at", F.col("prior.doc").alias("rep"), F.col("prior.at").alias("rat"))
-    # the first holder, where it is not the one before
-    start = materialise(lagged.where("doc = first").groupBy("h").agg(F.first("at").alias("rat")), "first")
-    far = lagged.where("doc <> first and (prior is null or prior.doc <> first)").select("h", "doc", "at", F.col("first").alias("rep"))
-    links = before.where("doc <> rep").select("doc", "rep", "at", "rat").union(far.join(start, "h").select("doc", "rep", "at", "rat"))
-    # a seed at very many places of both texts pairs them in order, from the front and from the back
-    some = F.concat(F.arrays_zip("at", "rat"), F.arrays_zip(F.reverse("at").alias("at"), F.reverse("rat").alias("rat")))
-    some = F.filter(some, lambda p: p["at"].isNotNull() & p["rat"].isNotNull())
-    each = F.flatten(F.transform("at", lambda p: F.transform("rat", lambda q: F.struct(p.alias("at"), q.alias("rat")))))
-    pairs = F.when(F.size("at") * F.size("rat") <= PLACES, each).otherwise(some)
-    return links.select("doc", "rep", F.explode(pairs).alias("p")).select("doc", "rep", F.col("p.at").alias("at"), F.col("p.rat").alias("rat")).distinct()
+            text, h, word, at = seeds_of(batch.column(1).to_pylist())
+            h = h.view(np.int64)
+            doc = ids[text]
+            of = np.zeros(len(h), np.int32)
+            if len(hot):
+                is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                of[is_hot] = 1 + np.searchsorted(cuts, doc[is_hot], "right")
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of), pa.array(doc), pa.array(word << 32 | at)], ["h", "range", "doc", "place"])
+
+    return docs.mapInArrow(run, f"h long, range int, doc long, {PLACE}")
+
+
+def paired(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a seed in two texts; a seed at very many places of both pairs them in order, from the front and from the back."""
+    if len(a) * len(b) <= PLACES:
+        return [(x, y) for x in a for y in b]
+    return sorted({*zip(a, b, strict=False), *zip(a[::-1], b[::-1], strict=False)})
+
+
+ANCHOR = "doc long, rep long, place long, held long"
+
+
+class Linker:
+    """Links the holders of each seed, given in order, to the first holder and to the one before.
+
+    Rows come sorted by seed, range, document and place, in batches of any size. of `ends` a row is kept for each range of a
+    hot seed: its first and its last holder, with places.
+    """
+
+    def __init__(self) -> None:
+        self.first: tuple[int, list[int]] | None = None
+        self.prior: tuple[int, list[int]] | None = None
+        self.key: tuple[int, int] | None = None
+        self.held: tuple[int, list[int]] | None = None
+        self.out: list[tuple[int, int, int, int]] = []
+        self.ends: list[tuple] = []
+
+    def close(self) -> None:
+        """The document at hand is complete."""
+        if self.held:
+            doc, places = self.held
+            if self.prior:
+                self.out += [(doc, self.prior[0], x, y) for x, y in paired(places, self.prior[1])]
+                if self.first[0] != self.prior[0]:
+                    self.out += [(doc, self.first[0], x, y) for x, y in paired(places, self.first[1])]
+            else:
+                self.first = self.held
+            self.prior, self.held = self.held, None
+
+    def begin(self, key: tuple[int, int] | None) -> None:
+        self.close()
+        if self.key and self.key[1]:
+            self.ends.append((*self.key, *self.first, *self.prior))
+        self.key, self.first, self.prior = key, None, None
+
+    def rows(self, h: list[int], of: list[int], doc: list[int], place: list[int]) -> None:
+        for key, d, p in zip(zip(h, of, strict=True), doc, place, strict=True):
+            if key != self.key:
+                self.begin(key)
+            if self.held and self.held[0] != d:
+                self.close()
+            if self.held:
+                self.held[1].append(p)
+            else:
+                self.held = (d, [p])
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """Rows of seeds() as anchors; the ranges of hot seeds as rows of their own, their ends in arrays."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        link = Linker()
+
+        def out(final: bool) -> pa.RecordBatch:
+            if final:
+                link.begin(None)
+            n, m = len(link.out), len(link.ends)
+            columns = [list(c) for c in zip(*link.out, strict=True)] or [[]] * 4
+            ends = [list(c) for c in zip(*link.ends, strict=True)] or [[]] * 6
+            anchors = [pa.array(c + [None] * m, pa.int64()) for c in columns]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+            borders = [pa.array([None] * n + c, t) for c, t in zip(ends, kinds, strict=True)]
+            link.out, link.ends = [], []
+            return pa.RecordBatch.from_arrays([*anchors, *borders], ["doc", "rep", "place", "held", "h", "range", "low", "low_at", "high", "high_at"])
+
+        for batch in batches:
+            h, of, doc, place = (batch.column(k).to_numpy() for k in range(4))
+            if not len(h):
+                continue
+            # most seeds stand alone: those rows are passed over at once
+            new = np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))
+            size = np.diff(np.append(np.nonzero(new)[0], len(h)))
+            group = np.cumsum(new) - 1
+            keep = (size[group] > 1) | (of > 0)
+            keep[group == 0] = keep[group == group[-1]] = True  # these may go on in another batch
+            link.rows(*(c[keep].tolist() for c in (h, of, doc, place)))
+            if len(link.out) > 100_000:
+                yield out(False)
+        yield out(True)
+
+    kinds = f"{ANCHOR}, h long, range int, low long, low_at array<long>, high long, high_at array<long>"
+    return found.repartition("h", "range").sortWithinPartitions("h", "range", "doc", "place").mapInArrow(run, kinds)
+
+
+def anchors_of(docs: DataFrame, rows: int) -> DataFrame:
+    """doc, rep, place and held: the places of each seed in a document, and in the first one and the one before that hold it.
+
+    Seeds are dealt by their hash, hot ones also by ranges of documents, so that no task holds a seed of all documents; the
+    first document of a hot seed's range is linked to the last one of the range before, and to the first of all.
+    """
+    hot = hot_seeds(docs, rows)
+    cuts = np.array(sorted(set(docs.approxQuantile("doc", [k / RANGES for k in range(1, RANGES)], 0.005))), np.int64) if len(hot) else hot
+    found = linked(seeds(docs, hot, cuts))
+    if not len(hot):
+        return found.select("doc", "rep", "place", "held")
+    found = materialise(found, "anchors")
+    by = Window.partitionBy("h").orderBy("range")  # RANGES rows at most
+    ends = found.where("h is not null").withColumn("before", F.lag(F.struct("high", "high_at")).over(by)).withColumn("start", F.first(F.struct("low", "low_at")).over(by)).where("before is not null")
+    pairs = F.arrays_zip("low_at", F.col("to.at").alias("at"))
+    # of the places of a hot seed in one document those in order are paired, as every other seed's where they are many
+    both = ends.select("low", "low_at", F.explode(F.array(F.struct(F.col("before.high").alias("doc"), F.col("before.high_at").alias("at")), F.struct(F.col("start.low").alias("doc"), F.col("start.low_at").alias("at")))).alias("to")).select(F.col("low").alias("doc"), F.col("to.doc").alias("rep"), F.explode(pairs).alias("p"))
+    over = both.select("doc", "rep", F.col("p.low_at").alias("place"), F.col("p.at").alias("held")).where("place is not null and held is not null").distinct()
+    return found.where("h is null").select("doc", "rep", "place", "held").union(over)
 
 
 def best_chains(a: list[int], b: list[int]) -> list[list[int]]:
     """Chains (positions of seeds, in order) of the seeds at a (rising) and b; each seed is in one chain at most."""
     n = len(a)
-    steps = np.diff(a), np.diff(b)
+    steps = np.diff(a), np.diff(b)  # words
     if (steps[0] > 0).all() and (steps[1] > 0).all() and (GAP_COST * (steps[0] + steps[1]) < SEED_SCORE).all():
         return [list(range(n))] if n >= LEAST_SEEDS else []
     ranks = {v: i + 1 for i, v in enumerate(sorted(set(b)))}
@@ -202,58 +320,61 @@ def best_chains(a: list[int], b: list[int]) -> list[list[int]]:
     return out
 
 
-CHAIN = "doc long, rep long, a array<int>, b array<int>"
+CHAIN = "doc long, rep long, a array<int>, b array<int>, a_from int, a_to int, b_from int, b_to int"
 
 
 def chains(anchors: DataFrame) -> DataFrame:
-    """Chains of the anchors (doc, rep, at, rat): seeds' positions in doc and in rep."""
+    """Chains of the anchors: seeds' word positions in doc and in rep, and the characters at which the first and the last one begin."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def whole(t: pa.Table) -> pa.RecordBatch:
-            doc, rep, at, rat = (t.column(k).to_numpy() for k in range(4))
+            doc, rep, place, held = (t.column(k).to_numpy() for k in range(4))
+            at, rat, char, rchar = place >> 32, held >> 32, place & 0xFFFFFFFF, held & 0xFFFFFFFF
             cut = np.nonzero((np.diff(doc) != 0) | (np.diff(rep) != 0))[0] + 1
-            rows: tuple[list, list, list, list] = ([], [], [], [])
+            rows: list[tuple] = []
             for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(doc)).tolist(), strict=True):
-                if e - s >= LEAST_SEEDS:
-                    a, b = at[s:e].tolist(), rat[s:e].tolist()
-                    for chain in best_chains(a, b):
-                        for column, value in zip(rows, (int(doc[s]), int(rep[s]), [a[i] for i in chain], [b[i] for i in chain]), strict=True):
-                            column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc", "rep", "a", "b"])
+                a, b = at[s:e].tolist(), rat[s:e].tolist()
+                for chain in best_chains(a, b):
+                    i, j = s + chain[0], s + chain[-1]
+                    rows.append((doc[s], rep[s], [a[k] for k in chain], [b[k] for k in chain], char[i], char[j], rchar[i], rchar[j]))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 8
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "rep", "a", "b", "a_from", "a_to", "b_from", "b_to"])
 
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            doc = held.column(0).to_numpy()
-            last = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0
-            if last:  # the last document may go on in the next batch
-                yield whole(held.slice(0, last))
-                held = held.slice(last)
+            doc, rep = held.column(0).to_numpy(), held.column(1).to_numpy()
+            new = np.nonzero((np.diff(doc) != 0) | (np.diff(rep) != 0))[0] + 1
+            if len(new):  # the last pair of documents may go on in the next batch
+                yield whole(held.slice(0, int(new[-1])))
+                held = held.slice(int(new[-1]))
         if held is not None and held.num_rows:
             yield whole(held)
 
-    return anchors.select("doc", "rep", "at", "rat").repartition("doc").sortWithinPartitions("doc", "rep", "at", "rat").mapInArrow(run, CHAIN)
+    return anchors.repartition("doc", "rep").sortWithinPartitions("doc", "rep", "place", "held").mapInArrow(run, CHAIN)
 
 
 def common_words(x: list[int], y: list[int]) -> int:
-    """Length of the longest common subsequence."""
+    """Length of the longest common subsequence: a bit for each word of x, all of them moved on at once by each word of y."""
     if x == y:
         return len(x)
-    n = 0
-    while x and y and x[0] == y[0]:
-        x, y, n = x[1:], y[1:], n + 1
-    while x and y and x[-1] == y[-1]:
-        x, y, n = x[:-1], y[:-1], n + 1
-    row = [0] * (len(y) + 1)
-    for p in x:
-        before = 0
-        for j, q in enumerate(y, 1):
-            before, row[j] = row[j], before + 1 if p == q else max(row[j], row[j - 1])
-    return n + row[-1]
+    at: dict[int, int] = {}
+    for i, word in enumerate(x):
+        at[word] = at.get(word, 0) | 1 << i
+    every = (1 << len(x)) - 1
+    row = every
+    for word in y:
+        if hit := row & at.get(word, 0):
+            row = (row + hit | row - hit) & every
+    return len(x) - row.bit_count()
+
+
+#: Words that an edit takes from either text, substitutions first, then by how uneven it is.
+EDITS = [(u, span - u) for span in range(1, 2 * LOOK + 1) for u in sorted(range(max(0, span - LOOK), min(span, LOOK) + 1), key=lambda u: abs(2 * u - span))]
 
 
 def extend(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int, int, int, bool]:
@@ -275,28 +396,20 @@ def extend(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int,
         if score < best[0] - DROP:
             end = False
             break
-        near = None
-        for span in range(1, 2 * LOOK + 1):
-            # substitutions first, then by how uneven the edit is
-            for u in sorted(range(max(0, span - LOOK), min(span, LOOK) + 1), key=lambda u: abs(2 * u - span)):
-                v = span - u
-                if p + u < n and q + v < m and x[p + u] == y[q + v] and (p + u + 1 == n or q + v + 1 == m or x[p + u + 1] == y[q + v + 1]):
-                    near = (u, v)
-                    break
-            if near:
+        for u, v in EDITS:
+            if p + u < n and q + v < m and x[p + u] == y[q + v] and (p + u + 1 == n or q + v + 1 == m or x[p + u + 1] == y[q + v + 1]):
                 break
-        if not near:
+        else:
             end = n - p <= 2 * LOOK or m - q <= 2 * LOOK
             break
-        u, v = near
         kept = common_words(x[p : p + u], y[q : q + v])
         score += kept - PENALTY * (max(u, v) - kept)
         p, q, same = p + u, q + v, same + kept
     return i + step * best[1], j + step * best[2], best[3], end
 
 
-def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[int, int, int, float, bool, bool]]:
-    """Parts of the words x that a chain (places i in x and j in y) aligns with y: first and last word, words, similarity, and whether the part came to an end of the words before and after."""
+def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[int, int, float, bool, bool]]:
+    """Parts of the words x that a chain (places i in x and j in y) aligns with y: first and last word, similarity, and whether the part came to an end of the words before and after."""
     parts, same = [], 0
     begin = 0
     for t in range(1, len(i) + 1):
@@ -308,91 +421,116 @@ def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[
         i1, j1, after, high = extend(x, y, i[t - 1], j[t - 1], 1)
         n, m, all_same = i1 - i0 + 1, j1 - j0 + 1, same + before + after + 1
         if n >= LEAST_WORDS and all_same >= SIMILARITY * max(n, m):
-            parts.append((i0, i1, n, all_same / max(n, m), low, high))
+            parts.append((i0, i1, all_same / max(n, m), low, high))
         begin, same = t, 0
     return parts
 
 
-def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start and end (characters), words, similarity and source_doc_id of each passage that an earlier document holds too."""
-    spark = df.sparkSession
-    tune_arrow(spark, 400)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """Documents as doc and text, what doc stands for (doc, doc_id, text_hash) if ids repeat, and how many rows there are.
+
+    Where no id repeats doc is the id. Else documents are numbered by id and hash of the text, so that rows of equal id and
+    text are one document and other rows that repeat an id are documents of their own.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    anchors = anchors_of(docs)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    todo = materialise(chains(anchors), "chains")
-    margin, done = MARGIN, []
+    rows, ids = docs.groupBy("doc").agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*")).first()
+    if not rows or rows == ids:
+        return docs, None, rows or 0
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    names = materialise(ranked(hashed.select(F.col("doc").alias("doc_id"), "text_hash").distinct(), ["doc_id", "text_hash"], "doc"), "names")
+    docs = hashed.dropDuplicates(["doc", "text_hash"]).withColumnRenamed("doc", "doc_id").join(names, ["doc_id", "text_hash"]).select("doc", "text")
+    return materialise(docs, "docs"), names, rows
+
+
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start and end (characters), words, similarity and source_doc_id of each passage that an earlier document holds too.
+
+    text_hash is that of the document's text where ids repeat, else null.
+    """
+    docs, names, rows = keyed(df, id_col, text_col)
+    todo = materialise(chains(anchors_of(docs, rows)), "chains")
+    margin, done, key = MARGIN, [], ["doc", "rep", "a_from", "b_from"]
 
     def aligned_within(found: DataFrame, margin: int) -> DataFrame:
-        low, high = lambda c: F.greatest(F.element_at(c, 1) - margin, F.lit(0)), lambda c: F.element_at(c, -1) + margin
-        cut = lambda c: F.substring(F.col("text"), low(c) + 1, high(c) - low(c))
-        tune_arrow(spark, 400)
-        chained = found.select("doc", "rep", "a", "b", low("a").alias("base"), low("b").alias("from"))
-        own = docs.join(found.select("doc").distinct(), "doc", "left_semi").join(chained, "doc").select("doc", "rep", "a", "b", "base", "from", cut("a").alias("x"), (F.char_length("text") > high("a")).alias("more"))
-        source = docs.withColumnRenamed("doc", "rep").join(found.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-        # a source that a third of all documents share is split on the side of the chains
-        own, source = materialise(own, "own"), materialise(source, "sources")
-        pairs = own.join(source, "rep").select("doc", "rep", "a", "b", "base", "from", "x", cut("b").alias("y"), "more", (F.char_length("text") > high("b")).alias("rest"))
+        low, high = F.greatest(F.col("from") - margin, F.lit(0)), F.col("to") + margin
+        wanted = found.select(F.col("doc").alias("n"), *key, F.col("a_from").alias("from"), F.col("a_to").alias("to"), F.lit(True).alias("own"), "a", "b", "a_to", "b_to")
+        wanted = wanted.union(found.select(F.col("rep").alias("n"), *key, F.col("b_from").alias("from"), F.col("b_to").alias("to"), F.lit(False).alias("own"), *[F.lit(None).alias(c) for c in ("a", "b", "a_to", "b_to")]))
+        if found.count() <= FEW:  # what the first round leaves over is little: a list of bounded size, and no text moves
+            wanted = F.broadcast(wanted)
+        cut = F.struct(low.alias("base"), F.substring(F.col("text"), low + 1, high - low).alias("text"), (F.char_length("text") > high).alias("more"))
+        # a document that very many others share is split on the side of the requests
+        windows = wanted.join(docs.withColumnRenamed("doc", "n"), "n").select(*key, "own", "a", "b", "a_to", "b_to", cut.alias("w"))
+        one = lambda c, own: F.max(F.when(F.col("own") == own, F.col(c))).alias(c)
+        sides = [F.max(F.when(F.col("own") == own, F.col("w"))).alias(c) for c, own in (("x", True), ("y", False))]
+        pairs = windows.groupBy(*key).agg(*sides, *[one(c, True) for c in ("a", "b", "a_to", "b_to")])
+        pairs = pairs.select(*key, "a", "b", "a_to", "b_to", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("text", "base", "more")])
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            for batch in batches:
-                rows: list[tuple] = []
-                doc, rep, a, b, base, start, x, y, more, rest = (c.to_pylist() for c in batch.columns)
+            for batch in slices(batches, 8, 11):
+                out: list[tuple] = []
+                doc, rep, a_from, b_from, a, b, a_to, b_to, x, x_base, x_more, y, y_base, y_more = (c.to_pylist() for c in batch.columns)
                 xs, ys = words_of(x), words_of(y)
                 x_at, y_at = (np.searchsorted(w[3], np.arange(len(doc) + 1)) for w in (xs, ys))
                 for k in range(len(doc)):
                     s, e, u, v = x_at[k], x_at[k + 1], y_at[k], y_at[k + 1]
                     first, last = xs[1][s:e], xs[2][s:e]
-                    i, j = np.searchsorted(first, np.array(a[k]) - base[k]).tolist(), np.searchsorted(ys[1][u:v], np.array(b[k]) - start[k]).tolist()
-                    if i[-1] >= e - s or j[-1] >= v - u:
-                        continue
-                    for p, q, n, alike, low, high in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j):
+                    i0, j0 = int(np.searchsorted(first, a_from[k] - x_base[k])), int(np.searchsorted(ys[1][u:v], b_from[k] - y_base[k]))
+                    i, j = [i0 + t - a[k][0] for t in a[k]], [j0 + t - b[k][0] for t in b[k]]
+                    again = (a[k], b[k], a_to[k], b_to[k], a_from[k], b_from[k])
+                    for p, q, alike, low, high in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j):
                         # both texts are cut at the same distance; the alignment goes on if either one does
-                        cut = (low and (base[k] > 0 or start[k] > 0)) or (high and (more[k] or rest[k]))
-                        rows.append((doc[k], base[k] + int(first[p]), base[k] + int(last[q]), n, alike, rep[k], bool(cut), a[k], b[k]))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "words", "similarity", "rep", "cut", "a", "b"])
+                        if (low and (x_base[k] > 0 or y_base[k] > 0)) or (high and (x_more[k] or y_more[k])):
+                            out.append((doc[k], rep[k], None, None, None, None, None, *again))
+                            break
+                        out.append((doc[k], rep[k], x_base[k] + int(first[p]), x_base[k] + int(last[q]), p - i0 + a[k][0], q - i0 + a[k][0], alike, *[None] * 6))
+                columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 13
+                kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 2, *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ALIGNED)
 
-        kinds = "doc_id long, start int, end int, words int, similarity double, rep long, cut boolean, a array<int>, b array<int>"
-        out = materialise(pairs.mapInArrow(run, kinds), "aligned")
-        discard(own, source)
-        return out
+        kinds = "doc long, rep long, start int, end int, first int, last int, similarity double, a array<int>, b array<int>, a_to int, b_to int, a_from int, b_from int"
+        return materialise(pairs.mapInArrow(run, kinds), "aligned")
 
     # what comes to the end of a cut is aligned again in longer ones, until all end by themselves or with the texts
     while True:
         got = aligned_within(todo, margin)
-        done.append(got.where("not cut").drop("cut", "a", "b"))
+        done.append(got.where("a is null").select("doc", "rep", "start", "end", "first", "last", "similarity"))
         discard(todo)
-        todo = materialise(got.where("cut").select(F.col("doc_id").alias("doc"), "rep", "a", "b").distinct(), "chains")
+        todo = got.where("a is not null").select(*todo.columns)
         if todo.isEmpty():
             break
         margin *= 4
     pieces = done[0]
     for other in done[1:]:
         pieces = pieces.union(other)
-    aligned = materialise(pieces.distinct(), "aligned")
-    by = Window.partitionBy("doc_id").orderBy("start", "end", "rep", "words", "similarity")
+    aligned = pieces.distinct()
+    by = Window.partitionBy("doc").orderBy("first", "last", "rep", "similarity", "start")
     # passages with at most a few words between them are one
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = aligned.withColumn("new", (reach.isNull() | (F.col("start") > reach + 20)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.sum("words") / F.sum(F.col("end") - F.col("start"))).alias("per"), F.max("similarity").alias("similarity"), F.max_by("rep", F.struct("words", -F.col("rep"))).alias("source_doc_id"))
-    return merged.withColumn("words", F.round(F.col("per") * (F.col("end") - F.col("start"))).cast("int")).where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "similarity", "source_doc_id")
+    reach = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    islands = aligned.withColumn("new", (reach.isNull() | (F.col("first") > reach + 1 + BETWEEN)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.col("last") - F.col("first")
+    merged = islands.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("words"), F.max("similarity").alias("similarity"), F.max_by("rep", F.struct(length, -F.col("rep"))).alias("source"))
+    merged = merged.where(F.col("words") >= min_words).drop("island")
+    if names is None:
+        out = merged.select(F.col("doc").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "start", "end", "words", "similarity", F.col("source").alias("source_doc_id"))
+    else:
+        out = merged.join(names, "doc").join(names.select(F.col("doc").alias("source"), F.col("doc_id").alias("source_doc_id")), "source")
+    return out.select("doc_id", "start", "end", "words", "similarity", "source_doc_id", "text_hash")
 
 
 def cut_passages(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the passages cut out of the texts; rows of which no word is left go, other rows and columns stay."""
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    out = df.join(spans, F.col(id_col) == F.col("__id"), "left")
-    length = F.char_length(text_col)
+    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    text = F.col(text_col).cast("string")
+    out = df.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__hash").isNull() | (F.col("__hash") == F.xxhash64(text))), "left")
     starts = F.concat(F.array(F.lit(0)), F.transform("__spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(length))
-    left = F.array_join(F.zip_with(starts, ends, lambda s, e: F.substring(F.col(text_col), s + 1, F.greatest(e - s, F.lit(0)))), "")
-    out = out.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(left))
-    return out.where(F.col("__spans").isNull() | (F.trim(F.translate(text_col, "\n\t\r", "   ")) != "")).select(*df.columns)
+    ends = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.char_length(text)))
+    left = F.array_join(F.zip_with(starts, ends, lambda s, e: F.substring(text, s + 1, F.greatest(e - s, F.lit(0)))), "")
+    out = out.withColumn("__left", F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(left))
+    kept = out.where(F.col("__spans").isNull() | (F.trim(F.translate("__left", "\n\t\r", "   ")) != ""))
+    return kept.select(*[F.col("__left").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_chain_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -4,28 +4,42 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of text that a Python worker unpacks at a time, but for a single longer text.
+SLICE_BYTES = 1 << 20
 
 
-def tune_arrow(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that carry texts to Python workers by rows and by bytes."""
-    spark.conf.set(ARROW_ROWS, str(rows))
-    spark.conf.set(ARROW_BYTES, str(8 << 20))
+def slices(batches: Iterable, *columns: int, most: int = SLICE_BYTES) -> Iterator:
+    """The batches in slices of about `most` bytes in the columns (numbers of string or binary ones), a row at least.
+
+    Spark bounds what it hands to a worker by bytes already; a slice bounds what the worker makes of it.
+    """
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy().astype(np.int64) for k in columns)
+        group = (np.cumsum(size) - size) // most if batch.num_rows else np.zeros(0, np.int64)
+        cut = np.nonzero(np.diff(group, prepend=-1))[0].tolist() if len(group) else [0]
+        for s, e in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+            yield batch.slice(s, e - s)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    Only a session whose executors run on this machine gets a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='moltide-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -122,6 +136,8 @@ def shrink_edges(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected edges (a long, b long), without nulls: (node, root) for every node of an edge, root the smallest node.
 
+    Raises if max_rounds do not end it; the rounds needed grow with the logarithm of the longest path.
+
     Alternating large-star and small-star rounds. A hub costs no group: minima are aggregated on the map side, and the
     join that applies them reads both sides from plain exchanges, so that adaptive execution can split a hot key.
     """
@@ -147,10 +163,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
+    else:
+        raise RuntimeError(f"components are not joined after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+def ranked(rows: DataFrame, keys: list[str], to: str) -> DataFrame:
+    """rows with the column `to`: their place, from 0, in the order of the keys, which no two rows share.
+
+    Sorted by range; each partition numbers its rows from where the ones before it end.
+    """
+    numbered = rows.orderBy(*keys).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.sparkSession.createDataFrame(numbered, f"{kinds}, {to} long")
+
+
 #: Rows that number themselves together, on average, and the fewest such sets of a group.
 NUMBER_ROWS, NUMBER_SETS = 250_000, 4
 

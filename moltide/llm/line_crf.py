@@ -14,15 +14,17 @@ columns are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune_arrow
+from .common import slices, table
 
-FIT_DOCUMENTS = 4_000
+#: Labelled documents that the fit takes at most, and their characters together; longer samples leave out what exceeds them.
+FIT_DOCUMENTS, FIT_CHARACTERS = 4_000, 32_000_000
 BINS, STEPS, ROUNDS, RATE, RIDGE = 8, 60, 2, 0.15, 1e-3
 FOLDS, THRESHOLD = 5, 0.3
 
@@ -40,36 +42,75 @@ def character_classes() -> np.ndarray:
 
 CLASSES = character_classes()
 MEASURES = 14
+#: Characters that are looked at together.
+PART = 1 << 18
+
+
+def totals(parts: list[str]) -> np.ndarray:
+    """For each part its characters by class, the words that begin in it (white space before the first), and its last character's class."""
+    codes = np.frombuffer("\n".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = np.where(codes < len(CLASSES), CLASSES[np.minimum(codes, len(CLASSES) - 1)], np.int8(LETTER))
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    start = np.cumsum(np.append(1, length[:-1] + 1))
+    word = np.append(False, (kind[1:] != SPACE) & (kind[:-1] == SPACE))
+    spans = np.stack([start, start + length], 1).ravel()
+
+    def total(x: np.ndarray) -> np.ndarray:  # an empty span would sum to its first place
+        return np.add.reduceat(x, spans, dtype=np.int32)[::2] * (length > 0)
+
+    return np.stack([*[total(kind == k) for k in range(8)], total(word), kind[start + np.maximum(length, 1) - 1]], 1).astype(np.int64)
+
+
+def words_in(line: str) -> tuple[float, float]:
+    """Shares of a line's words that are distinct, and that repeat the one before; a long line is not split at once."""
+    if len(line) <= PART:
+        x = line.split()
+        return len(set(x)) / max(1, len(x)), sum(map(str.__eq__, x, x[1:])) / max(1, len(x))
+    n = same = 0
+    seen, before = set(), None
+    for m in re.finditer(r"\S+", line):
+        word = hash(m[0])
+        n, same, before = n + 1, same + (word == before), word
+        seen.add(word)
+    return len(seen) / max(1, n), same / max(1, n)
 
 
 def measures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Measures (a row for each line), the lines' lengths, and how many lines each text has."""
+    """Measures (a row for each line), the lines' lengths, and how many lines each text has.
+
+    Characters are counted in parts of PART characters at most, so that a long text or line needs no more memory at once.
+    """
     lines, sizes = [], []
     for t in texts:
         found = [x for x in t.split("\n") if x and not x.isspace()] or [""]
         lines += found
         sizes.append(len(found))
-    codes = np.frombuffer("\n".join(["", *lines, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
-    kind = np.where(codes < len(CLASSES), CLASSES[np.minimum(codes, len(CLASSES) - 1)], LETTER)
     length = np.fromiter(map(len, lines), np.int64, len(lines))
-    start = np.cumsum(np.append(1, length[:-1] + 1))
-    first = kind[1:] != SPACE
-    word = np.append(0, (first & (kind[:-1] == SPACE)).astype(np.int64))
-
-    def total(x: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0, np.cumsum(x))[np.stack([start, start + length])], axis=0)[0]
-
+    counts, held, size = [], [], 0
+    for k, line in enumerate(lines):
+        if len(line) <= PART:
+            held.append(line)
+            size += len(line)
+        else:
+            cut = [totals([line[at : at + PART]])[0] for at in range(0, len(line), PART)]
+            one = np.sum(cut, axis=0)
+            # a word that goes on in the next part begins once
+            one[8] -= sum(not line[at - 1].isspace() and not line[at].isspace() for at in range(PART, len(line), PART))
+            one[9] = cut[-1][9]
+            counts += [totals(held)] * bool(held) + [one[None, :]]
+            held, size = [], 0
+        if held and (size > PART or k + 1 == len(lines)):
+            counts.append(totals(held))
+            held, size = [], 0
+    by = np.concatenate(counts).T if counts else np.zeros((10, 0), np.int64)
     n = np.maximum(length, 1)
-    by = [total(kind == k) for k in range(8)]
-    words = np.maximum(total(word), 1)
+    words = np.maximum(by[8], 1)
     letters = np.maximum(by[LETTER] + by[UPPER], 1)
     ordinal = np.repeat(np.arange(len(sizes)), sizes)
     hashes = np.fromiter(map(hash, lines), np.int64, len(lines))
     _, inverse, often = np.unique(np.stack([ordinal, hashes], 1), axis=0, return_inverse=True, return_counts=True)
-    last = kind[start + n - 1]
-    split = [x.split() for x in lines]
-    distinct = np.array([len(set(x)) / max(1, len(x)) for x in split])
-    echoed = np.array([sum(map(str.__eq__, x, x[1:])) / max(1, len(x)) for x in split])
+    last = by[9]
+    distinct, echoed = np.array([words_in(x) for x in lines]).reshape(-1, 2).T
     columns = [np.log1p(length), (by[LETTER] + by[UPPER]) / n, by[UPPER] / letters, by[DIGIT] / n, by[SPACE] / n, by[STOP] / words, by[LOUD] / words, by[FENCE] / words, by[0] / n, letters / words, np.minimum(often[inverse.ravel()], 5), (last == STOP).astype(float), distinct, echoed]
     return np.stack(columns, 1), n.astype(float), np.array(sizes)
 
@@ -219,23 +260,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = FIT_DOCUMENTS) -> Model:
-    """Model from at most `sample` labelled documents outside the held-out fold."""
+def fit_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = FIT_DOCUMENTS, characters: int = FIT_CHARACTERS) -> Model:
+    """Model from at most `sample` labelled documents outside the held-out fold, whose texts have at most `characters` together.
+
+    Rows that repeat an id count as one, that of the longest text.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])  # `sample` rows at most are broadcast and read
+    found = texts.join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    sizes = found.groupBy("doc_id").agg(F.max(F.struct(F.char_length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x")).select("doc_id", "x.n", "x.h").toPandas().sort_values(["n", "doc_id"])
+    taken = sizes[sizes["n"].cumsum() <= characters][["doc_id", "h"]]
+    if taken.empty:
+        return fit([], [])
+    one = docs.sparkSession.createDataFrame(taken, "doc_id long, h long")
+    rows = found.join(F.broadcast(one), "doc_id").where(F.xxhash64("text") == F.col("h")).dropDuplicates(["doc_id"]).select("doc_id", "text", "label").toPandas().sort_values("doc_id")
     return fit(rows["text"].tolist(), rows["label"].tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of each row."""
-    tune_arrow(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores([x or "" for x in batch.column(1).to_pylist()]))], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
@@ -243,13 +292,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, with all their columns, whose score reaches the threshold."""
-    tune_arrow(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, at):
             yield batch.filter(pa.array(model.scores([x or "" for x in batch.column(at).to_pylist()]) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,10 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tune_arrow
+from .common import slices, table
 
 SPACE = "▁"
-REMEMBERED = 300_000
+#: Bytes of words and their ids, as counted here, that a worker remembers.
+REMEMBERED, ENTRY = 48 << 20, 300
 
 
 class CharacterMap:
@@ -83,6 +84,7 @@ class OffsetEncoder:
         self.widths = [1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in model.pieces]
         self.unknown = self.library.unk_id()
         self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.held = 0
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text, spaces as U+2581, and for each of its bytes and its end the original byte it comes from."""
@@ -153,15 +155,19 @@ class OffsetEncoder:
             else:
                 words = None
             found.append((source, words, got))
-        if len(known) + len(missing) > REMEMBERED:
-            self.known = known = {}
-        new = list(missing)
+        now, new = {}, list(missing)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            known.update(zip(part, self.split([SPACE + w for w in part]), strict=True))
+            now.update(zip(part, self.split([SPACE + w for w in part]), strict=True))
+        if (size := sum(ENTRY + 12 * len(w) for w in new)) + self.held > REMEMBERED:
+            known.clear()
+            self.held = 0
+        if size <= REMEMBERED:
+            known.update(now)
+            self.held += size
         for source, words, got in found:
             if words:
-                got = [known[w] if g is None else g for w, g in zip(words, got, strict=True)]
+                got = [now[w] if g is None else g for w, g in zip(words, got, strict=True)]
             ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
             ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), "<i4"), dtype=np.int64)
             edges = source[np.append(0, ends)] if len(ids) else source[:1]
@@ -178,12 +184,11 @@ def encoder(path: str) -> OffsetEncoder:
 
 def encode_column(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, begins and ends (the original byte span of each piece) of each row."""
-    tune_arrow(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [(i.tolist(), b.tolist(), e.tolist()) for i, b, e, _ in encoder(model).encode([x or "" for x in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.list_(t)) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))]], ["doc_id", "ids", "begins", "ends"])
 
@@ -192,13 +197,12 @@ def encode_column(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
 
 def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and spanned_bytes (original bytes inside piece spans) of each row."""
-    tune_arrow(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         enc = encoder(model)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, a, b, spanned = [], [], [], []
             for ids, begin, end, decimals in enc.encode([x or "" for x in batch.column(1).to_pylist()]):
                 n.append(len(ids))

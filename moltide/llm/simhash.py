@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, forest, materialise, table, tune_arrow
+from .common import connected_components, discard, forest, materialise, slices, table
 
 SEED = 42
 #: Fingerprints that a shard should hold at most, on average; the sampled fingerprints for each shard.
@@ -59,12 +59,11 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) for each row."""
-    tune_arrow(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
@@ -213,7 +212,6 @@ def links(rows: DataFrame, radius: int = 3, least: float = 0) -> DataFrame:
         a, b = linked(got.column("node").to_numpy(), got.column("fp").to_numpy(), got.column("home").to_numpy(), key[0].as_py() % blocks, radius, sketches, least)
         return pa.table({"a": a, "b": b})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     kinds = "node long, fp long" + ", sketch binary" * sketched
     return rows.select("node", "fp", *["sketch"] * sketched).mapInArrow(deal, f"shard long, home boolean, {kinds}").groupBy("shard").applyInArrow(shard, "a long, b long")
 
@@ -232,6 +230,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: Most near copies by similarity: fingerprints of two-word shingles differ in few bits where texts differ in scattered
 #: words; a sketch of 64 minima of 4 bits rules out unrelated texts. What this misses is found by prefixes of shingle sets.
 NEAR_SHINGLE, NEAR_BITS, SKETCH, SKETCH_LEAST = 2, 9, 64, 0.6
+#: Shingles that a task remembers while it compares texts.
+REMEMBERED = 1_000_000
 #: Share and least number of rows in which frequent shingles are counted, how often one is seen there, and how many are kept.
 COUNTED, COUNTED_ROWS, FREQUENT, FREQUENT_MOST = 0.1, 5_000, 3, 200_000
 
@@ -243,7 +243,7 @@ def frequent_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(text, shingle)).view(np.int64))], ["h"])
 
@@ -320,14 +320,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     equal.
     """
     spark = df.sparkSession
-    tune_arrow(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, shingle))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             fps = np.array([fingerprint(x, NEAR_SHINGLE) for x in texts], np.uint64).view(np.int64)
             digests = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
@@ -344,16 +343,19 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def alike(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sets: dict[int, frozenset] = {}
-        for batch in batches:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in slices(batches, 2, 3):
             keep = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(sets) > 500:
+                if held > REMEMBERED:
                     sets.clear()
+                    held = 0
                 for node, text in ((a, x), (b, y)):
                     if node not in sets:
-                        sets[node] = frozenset(hashes(text, shingle).tolist())
-                n = len(sets[a] & sets[b])
+                        sets[node] = np.unique(hashes(text, shingle))
+                        held += len(sets[node])
+                n = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 keep.append(n >= similarity * (len(sets[a]) + len(sets[b]) - n) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -361,7 +363,6 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         wanted = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         texts = materialise(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
         both = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        tune_arrow(spark, 200)
         true = materialise(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "true")
         discard(texts, edges)
         return true

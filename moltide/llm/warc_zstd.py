@@ -23,7 +23,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, materialise, table, tune_arrow
+from .common import materialise, slices, table
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
@@ -160,8 +160,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0) -> DataFrame:
     """Archives (name, content) with a record for each row, as a table in the shared folder."""
-    spark = df.sparkSession
-    tune_arrow(spark)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     # the join below reads both sides from plain exchanges: a hot payload is split
@@ -181,7 +179,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
             held, size, made = [], 0, made + 1
             return out
 
-        for batch in batches:
+        for batch in slices(batches, 2):
             for p, u, x, n, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(record(p, u, x, n if r else None, r))
                 size += len(held[-1])
@@ -195,8 +193,6 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the archives (column content)."""
-    archives.sparkSession.conf.set(ARROW_ROWS, "2")
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

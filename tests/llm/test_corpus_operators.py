@@ -139,15 +139,67 @@ def test_packing(spark, odd):
     assert got["sequence_id"].nunique() == -(-got["length"].sum() // 2048)
 
 
+def packed(counts, capacity):
+    plan = bin_completion.bin_completion(counts, capacity)
+    used = {}
+    for filling, times in plan.fillings:
+        assert sum(n * k for n, k in filling) <= capacity and times > 0
+        for n, k in filling:
+            used[n] = used.get(n, 0) + k * times
+    assert used == {n: c for n, c in counts.items() if c} and sum(t for _, t in plan.fillings) == plan.sequences >= plan.bound
+    return plan
+
+
 def test_bin_completion_is_optimal_where_known():
     for counts, capacity, bins in (({6: 3, 4: 3}, 10, 3), ({5: 1, 4: 2, 3: 3, 2: 1}, 12, 2), ({7: 2, 3: 2, 10: 1}, 10, 3), ({}, 10, 0)):
-        plan = bin_completion.bin_completion(counts, capacity)
-        used = {}
-        for filling, times in plan:
-            assert sum(n * k for n, k in filling) <= capacity
-            for n, k in filling:
-                used[n] = used.get(n, 0) + k * times
-        assert used == counts and sum(t for _, t in plan) == bins
+        assert packed(counts, capacity)[1] == bins
+
+
+def fewest_bins(items, capacity):
+    best = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) < best[0]:
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for room in sorted({r for r in rooms if r >= items[i]}):
+                at = rooms.index(room)
+                rooms[at] -= items[i]
+                go(i + 1, rooms)
+                rooms[at] += items[i]
+            go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_against_all_packings():
+    rng, harder = random.Random(1), 0
+    for _ in range(300):
+        capacity = rng.randint(10, 40)
+        items = sorted((rng.randint(max(1, capacity // 8), capacity * 2 // 3) for _ in range(rng.randint(0, 12))), reverse=True)
+        counts = {n: items.count(n) for n in items}
+        plan = packed(counts, capacity)
+        assert plan.proven and plan.sequences == fewest_bins(items, capacity)
+        harder += sum(t for _, t in bin_completion.best_fit(counts, capacity)) > plan.sequences
+    assert harder  # best fit alone needs more
+
+
+def test_bin_completion_of_planted_packings():
+    """Tables of few hot lengths that fill sequences without waste: best fit needs more for most of them."""
+    rng, missed, harder = random.Random(2), 0, 0
+    for _ in range(60):
+        counts, known = {}, 0
+        for _ in range(2):
+            cut = [0, *sorted(rng.sample(range(100, 1900), rng.randint(1, 2))), 2048]
+            times = rng.randint(500, 2500)
+            known += times
+            for n in np.diff(cut).tolist():
+                counts[n] = counts.get(n, 0) + times
+        missed += packed(counts, 2048).sequences > known
+        harder += sum(t for _, t in bin_completion.best_fit(counts, 2048)) > known
+    assert missed == 0 and harder >= 10
 
 
 def test_search_by_brute_force(spark, odd, monkeypatch):
@@ -173,7 +225,8 @@ def test_search_by_brute_force(spark, odd, monkeypatch):
                 scores.append((-round(s, 6), d))
         want = sorted(scores)[:4]
         assert [got[q][k + 1][0] for k in range(4)] == [d for _, d in want]
-    assert block_max_wand.search(odd, every=3).where("query_id = 3").count() >= 0
+    twice = block_max_wand.search(odd, every=3).where("query_id = 3").collect()
+    assert [r.doc_id for r in twice] == []  # the text with the same words has no id, and a query does not find its own
 
 
 def test_search_of_nothing(spark):
@@ -354,3 +407,54 @@ def test_recall_of_fuzzy_passages(spark):
     found = {rate: len(got & set(ids)) / len(ids) for (rate, _), ids in rates.items()}
     print(found)
     assert all(found[rate] >= least for rate, least in rates) and got <= {i for ids in rates.values() for i in ids}
+
+
+def test_passages_of_long_words_and_of_pieces_that_stand_between(spark):
+    rng, texts, want = random.Random(16), [], set()
+    long_words = ["".join(rng.choice("bcdfgh") for _ in range(80)) for _ in range(45)]
+    for _ in range(2):
+        texts.append(" ".join(made_words(rng, 30) + long_words + made_words(rng, 30)))
+    want.add(1)
+    for _ in range(20):
+        passage = made_words(rng, 60)
+        pieces = [passage[k : k + 12] for k in range(0, 60, 12)]
+        alone = [" ".join(made_words(rng, 30) + p + made_words(rng, 30)) for p in pieces]
+        whole = [" ".join(made_words(rng, 40) + passage + made_words(rng, 40)) for _ in range(2)]
+        texts += [*alone[:2], whole[0], *alone[2:], whole[1]]
+        want.add(len(texts) - 1)
+    got = {r.doc_id: r.words for r in chain_dedup.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) == want and got[1] == 45 and all(60 <= got[i] <= 62 for i in want if i > 1)
+
+
+def test_passages_of_rows_that_repeat_an_id(spark):
+    rng = random.Random(17)
+    shared = " ".join(made_words(rng, 60))
+    own = " ".join(made_words(rng, 300))
+    rows = [(1, "x " + shared, "a"), (5, "y z " + shared + " w", "b"), (5, own, "c"), (5, own, "d"), (None, shared, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start string")
+    found = chain_dedup.passages(df)
+    assert [(r.doc_id, r.words, r.source_doc_id) for r in found.collect()] == [(5, 60, 1)]
+    left = {r.start: r.text for r in chain_dedup.cut_passages(df, found).collect()}
+    assert left["c"] == left["d"] == own and left["e"] == shared and left["a"] == "x " + shared and left["b"].split() == ["y", "z", "w"]
+
+
+def test_hot_seeds_are_dealt_by_ranges(spark, monkeypatch):
+    rng = random.Random(18)
+    line, shared = made_words(rng, 12), made_words(rng, 50)
+    texts = [" ".join(made_words(rng, 20) + line + made_words(rng, 20) + (shared if k % 3 == 0 else [])) for k in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted((r.doc_id, r.start, r.end, r.words) for r in chain_dedup.passages(df).collect())
+    monkeypatch.setattr(chain_dedup, "HOT", 20)
+    dealt = sorted((r.doc_id, r.start, r.end, r.words) for r in chain_dedup.passages(df).collect())
+    assert dealt == plain and [x[0] for x in plain] == list(range(3, 120, 3)) and all(x[3] == 50 for x in plain)
+
+
+def test_common_words_against_a_table():
+    rng = random.Random(19)
+    for _ in range(200):
+        x, y = ([rng.randint(0, 5) for _ in range(rng.randint(0, 30))] for _ in range(2))
+        row = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                row[i + 1][j + 1] = row[i][j] + 1 if p == q else max(row[i][j + 1], row[i + 1][j])
+        assert chain_dedup.common_words(x, y) == row[-1][-1]
