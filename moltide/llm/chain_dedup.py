@@ -4,7 +4,8 @@ Words are runs of letters and digits, case folded. From every text come seeds, t
 in some window of WINDOW neighbouring k-mers: an equal run of WINDOW + K - 1 words has one seed at least. A seed that
 several documents hold links each of them to the first (by id) that holds it and to the one before it, never all to all.
 Between two documents, seeds are chained in order, a chain paying for the gaps between its seeds; a Fenwick tree of best
-prefixes finds the best chain to extend. A single seed is a chain too. Chains are aligned word by word over the texts
+prefixes finds the best chain to extend. A single seed is a chain too. Where a chain spans less than eight words, three of
+the four words before and after one of its seeds must agree as well, which holds wherever it lies in eight equal words. Chains are aligned word by word over the texts
 around them until the texts no longer agree, and what aligns well enough is a passage. Passages of a document that touch
 are merged, whatever documents they come from, and those of MIN_WORDS or more stay.
 
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, ranked, slices, table
+from .common import discard, materialise, ranked, release, slices, table
 
 K, WINDOW = 5, 6
 #: What a seed adds to a chain's score and what each word of a gap, in either text, takes away.
@@ -35,6 +36,8 @@ PENALTY, DROP, LOOK = SIMILARITY / (1 - SIMILARITY), 16.0, 8
 BETWEEN, FEW = 3, 50_000
 #: Holders from which a seed is hot: its rows are dealt by ranges of ids; and places times places that are all paired.
 HOT, RANGES, PLACES = 1_000, 64, 64
+#: Neighbouring words on either side of a seed that it brings along, and how many must agree if a few words are to be a chain.
+AROUND, BACKING = 4, 3
 #: Documents in which hot seeds are looked for, and how many such seeds are listed.
 SAMPLED, MOST_HOT = 5_000, 100_000
 ALIGNED = ["doc", "rep", "start", "end", "first", "last", "similarity", "a", "b", "a_to", "b_to", "a_from", "b_from"]
@@ -97,12 +100,15 @@ def window_extreme(x: np.ndarray, w: int, take) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash, word and character position of the seeds, by text and position."""
+def seeds_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Text number, hash, word and character position and context of the seeds, by text and position.
+
+    The context has 4 bits, not all zero, for each of the AROUND words before and after; none beyond the text's ends.
+    """
     h, begin, _, text = words_of(texts)
     n = len(h) - K + 1
     if n <= 0:
-        return begin[:0], h[:0], begin[:0], begin[:0]
+        return begin[:0], h[:0], begin[:0], begin[:0], begin[:0]
     kmer = np.zeros(n, np.uint64)
     for t in range(K):
         kmer = kmer * MULT + h[t : t + n]
@@ -118,8 +124,33 @@ def seeds_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     top = window_extreme(np.where(least == np.iinfo(np.uint64).max, 0, least), WINDOW, np.maximum)
     chosen[WINDOW - 1 : WINDOW - 1 + len(top)] = spread[WINDOW - 1 : WINDOW - 1 + len(top)] == top
     keep = whole & chosen[place]
-    word = np.arange(n) - np.searchsorted(text, text[:n])
-    return text[:n][keep], kmer[keep], word[keep], begin[:n][keep]
+    at, own = np.nonzero(keep)[0], text[:n][keep]
+    word = at - np.searchsorted(text, own)
+    nibble, context = (h >> np.uint64(40)).astype(np.int64) % 15 + 1, np.zeros(len(at), np.int64)
+    for t, step in enumerate([*range(-AROUND, 0), *range(K, K + AROUND)]):
+        there = np.clip(at + step, 0, len(h) - 1)
+        inside = (at + step == there) & (text[there] == own)
+        context |= np.where(inside, nibble[there], 0) << 4 * t
+    return own, kmer[keep], word, begin[:n][keep], context
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words of two contexts agree, on either side at the best of three shifts."""
+    low, side = np.int64(0x1111), np.int64(0xFFFF)
+
+    def equal(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        apart = p ^ q
+        apart |= apart >> 2
+        apart |= apart >> 1
+        there = p | p >> 2
+        there |= there >> 1
+        return np.bitwise_count(~apart & there & low)
+
+    total = 0
+    for shift in (0, 4 * AROUND):
+        p, q = x >> shift & side, y >> shift & side
+        total = total + np.maximum(np.maximum(equal(p, q), equal(p >> 4, q)), equal(p, q >> 4))
+    return total
 
 
 def hot_seeds(docs: DataFrame, rows: int) -> np.ndarray:
@@ -134,7 +165,7 @@ def hot_seeds(docs: DataFrame, rows: int) -> np.ndarray:
         import pyarrow as pa
 
         for batch in slices(batches, 0):
-            text, h, _, _ = seeds_of(batch.column(0).to_pylist())
+            text, h, *_ = seeds_of(batch.column(0).to_pylist())
             once = np.unique(np.stack([h.view(np.int64), text]), axis=1)[0] if len(h) else h.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(once)], ["h"])
 
@@ -143,36 +174,38 @@ def hot_seeds(docs: DataFrame, rows: int) -> np.ndarray:
     return np.sort(found["h"].to_numpy(np.int64))
 
 
-PLACE = "place long"  # word position << 32 | character position
-
-
 def seeds(docs: DataFrame, hot: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """h, doc and place of each seed of docs (doc, text), and the range of documents to which a hot seed is dealt (0 for others)."""
+    """h, doc, place and context of each seed of docs (doc, text), and the range of documents to which a hot seed is dealt (0 for others).
+
+    place: word position << 32 | character position.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches, 1):
             ids = batch.column(0).to_numpy()
-            text, h, word, at = seeds_of(batch.column(1).to_pylist())
+            text, h, word, at, context = seeds_of(batch.column(1).to_pylist())
             h = h.view(np.int64)
             doc = ids[text]
             of = np.zeros(len(h), np.int32)
             if len(hot):
                 is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                 of[is_hot] = 1 + np.searchsorted(cuts, doc[is_hot], "right")
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of), pa.array(doc), pa.array(word << 32 | at)], ["h", "range", "doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(of), pa.array(doc), pa.array(word << 32 | at), pa.array(context.astype(np.uint32).view(np.int32))], ["h", "range", "doc", "place", "context"])
 
-    return docs.mapInArrow(run, f"h long, range int, doc long, {PLACE}")
+    return docs.mapInArrow(run, "h long, range int, doc long, place long, context int")
 
 
-def paired(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def paired(a: list, b: list) -> list[tuple]:
     """Places of a seed in two texts; a seed at very many places of both pairs them in order, from the front and from the back."""
     if len(a) * len(b) <= PLACES:
         return [(x, y) for x in a for y in b]
     return sorted({*zip(a, b, strict=False), *zip(a[::-1], b[::-1], strict=False)})
 
 
+#: In `held`: the seed's neighbours agree too.
+BACKED = 1 << 62
 ANCHOR = "doc long, rep long, place long, held long"
 
 
@@ -184,11 +217,12 @@ class Linker:
     """
 
     def __init__(self) -> None:
-        self.first: tuple[int, list[int]] | None = None
-        self.prior: tuple[int, list[int]] | None = None
+        # a document and its places, each with its context
+        self.first: tuple[int, list[tuple[int, int]]] | None = None
+        self.prior: tuple[int, list[tuple[int, int]]] | None = None
+        self.held: tuple[int, list[tuple[int, int]]] | None = None
         self.key: tuple[int, int] | None = None
-        self.held: tuple[int, list[int]] | None = None
-        self.out: list[tuple[int, int, int, int]] = []
+        self.out: list[tuple] = []
         self.ends: list[tuple] = []
 
     def close(self) -> None:
@@ -196,9 +230,10 @@ class Linker:
         if self.held:
             doc, places = self.held
             if self.prior:
-                self.out += [(doc, self.prior[0], x, y) for x, y in paired(places, self.prior[1])]
-                if self.first[0] != self.prior[0]:
-                    self.out += [(doc, self.first[0], x, y) for x, y in paired(places, self.first[1])]
+                rep = self.prior[0]
+                self.out += [(doc, rep, *x, *y) for x, y in paired(places, self.prior[1])]
+                if (rep := self.first[0]) != self.prior[0]:
+                    self.out += [(doc, rep, *x, *y) for x, y in paired(places, self.first[1])]
             else:
                 self.first = self.held
             self.prior, self.held = self.held, None
@@ -206,19 +241,19 @@ class Linker:
     def begin(self, key: tuple[int, int] | None) -> None:
         self.close()
         if self.key and self.key[1]:
-            self.ends.append((*self.key, *self.first, *self.prior))
+            self.ends.append((*self.key, *[x for doc, places in (self.first, self.prior) for x in (doc, [p for p, _ in places])]))
         self.key, self.first, self.prior = key, None, None
 
-    def rows(self, h: list[int], of: list[int], doc: list[int], place: list[int]) -> None:
-        for key, d, p in zip(zip(h, of, strict=True), doc, place, strict=True):
+    def rows(self, h: list[int], of: list[int], doc: list[int], place: list[int], context: list[int]) -> None:
+        for key, d, *p in zip(zip(h, of, strict=True), doc, place, context, strict=True):
             if key != self.key:
                 self.begin(key)
             if self.held and self.held[0] != d:
                 self.close()
             if self.held:
-                self.held[1].append(p)
+                self.held[1].append(tuple(p))
             else:
-                self.held = (d, [p])
+                self.held = (d, [tuple(p)])
 
 
 def linked(found: DataFrame) -> DataFrame:
@@ -233,16 +268,17 @@ def linked(found: DataFrame) -> DataFrame:
             if final:
                 link.begin(None)
             n, m = len(link.out), len(link.ends)
-            columns = [list(c) for c in zip(*link.out, strict=True)] or [[]] * 4
+            table = np.array(link.out, np.int64).reshape(-1, 6)
+            table[:, 4] |= np.where(agreeing(table[:, 3] & 0xFFFFFFFF, table[:, 5] & 0xFFFFFFFF) >= BACKING, BACKED, 0)
             ends = [list(c) for c in zip(*link.ends, strict=True)] or [[]] * 6
-            anchors = [pa.array(c + [None] * m, pa.int64()) for c in columns]
+            anchors = [pa.concat_arrays([pa.array(table[:, k].copy()), pa.nulls(m, pa.int64())]) for k in (0, 1, 2, 4)]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
             borders = [pa.array([None] * n + c, t) for c, t in zip(ends, kinds, strict=True)]
             link.out, link.ends = [], []
             return pa.RecordBatch.from_arrays([*anchors, *borders], ["doc", "rep", "place", "held", "h", "range", "low", "low_at", "high", "high_at"])
 
         for batch in batches:
-            h, of, doc, place = (batch.column(k).to_numpy() for k in range(4))
+            h, of, doc, place, context = (batch.column(k).to_numpy() for k in range(5))
             if not len(h):
                 continue
             # most seeds stand alone: those rows are passed over at once
@@ -251,7 +287,7 @@ def linked(found: DataFrame) -> DataFrame:
             group = np.cumsum(new) - 1
             keep = (size[group] > 1) | (of > 0)
             keep[group == 0] = keep[group == group[-1]] = True  # these may go on in another batch
-            link.rows(*(c[keep].tolist() for c in (h, of, doc, place)))
+            link.rows(*(c[keep].tolist() for c in (h, of, doc, place, context)))
             if len(link.out) > 100_000:
                 yield out(False)
         yield out(True)
@@ -271,13 +307,13 @@ def anchors_of(docs: DataFrame, rows: int) -> DataFrame:
     found = linked(seeds(docs, hot, cuts))
     if not len(hot):
         return found.select("doc", "rep", "place", "held")
-    found = materialise(found, "anchors")
     by = Window.partitionBy("h").orderBy("range")  # RANGES rows at most
     ends = found.where("h is not null").withColumn("before", F.lag(F.struct("high", "high_at")).over(by)).withColumn("start", F.first(F.struct("low", "low_at")).over(by)).where("before is not null")
     pairs = F.arrays_zip("low_at", F.col("to.at").alias("at"))
     # of the places of a hot seed in one document those in order are paired, as every other seed's where they are many
     both = ends.select("low", "low_at", F.explode(F.array(F.struct(F.col("before.high").alias("doc"), F.col("before.high_at").alias("at")), F.struct(F.col("start.low").alias("doc"), F.col("start.low_at").alias("at")))).alias("to")).select(F.col("low").alias("doc"), F.col("to.doc").alias("rep"), F.explode(pairs).alias("p"))
-    over = both.select("doc", "rep", F.col("p.low_at").alias("place"), F.col("p.at").alias("held")).where("place is not null and held is not null").distinct()
+    over = both.select("doc", "rep", F.col("p.low_at").alias("place"), F.col("p.at").bitwiseOR(F.lit(BACKED)).alias("held")).where("place is not null and held is not null").distinct()
+    # both parts read the same exchange of seeds
     return found.where("h is null").select("doc", "rep", "place", "held").union(over)
 
 
@@ -331,13 +367,16 @@ def chains(anchors: DataFrame) -> DataFrame:
 
         def whole(t: pa.Table) -> pa.RecordBatch:
             doc, rep, place, held = (t.column(k).to_numpy() for k in range(4))
-            at, rat, char, rchar = place >> 32, held >> 32, place & 0xFFFFFFFF, held & 0xFFFFFFFF
+            at, rat, char, rchar = place >> 32, (held & ~BACKED) >> 32, place & 0xFFFFFFFF, held & 0xFFFFFFFF
+            backed = (held & BACKED) > 0
             cut = np.nonzero((np.diff(doc) != 0) | (np.diff(rep) != 0))[0] + 1
             rows: list[tuple] = []
             for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(doc)).tolist(), strict=True):
                 a, b = at[s:e].tolist(), rat[s:e].tolist()
                 for chain in best_chains(a, b):
                     i, j = s + chain[0], s + chain[-1]
+                    if a[chain[-1]] - a[chain[0]] < BACKING and not backed[s + np.array(chain)].any():
+                        continue
                     rows.append((doc[s], rep[s], [a[k] for k in chain], [b[k] for k in chain], char[i], char[j], rchar[i], rchar[j]))
             columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 8
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4)
@@ -449,6 +488,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     """
     docs, names, rows = keyed(df, id_col, text_col)
     todo = materialise(chains(anchors_of(docs, rows)), "chains")
+    release(df.sparkSession)
     margin, done, key = MARGIN, [], ["doc", "rep", "a_from", "b_from"]
 
     def aligned_within(found: DataFrame, margin: int) -> DataFrame:
@@ -497,6 +537,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         got = aligned_within(todo, margin)
         done.append(got.where("a is null").select("doc", "rep", "start", "end", "first", "last", "similarity"))
         discard(todo)
+        release(df.sparkSession)
         todo = got.where("a is not null").select(*todo.columns)
         if todo.isEmpty():
             break
