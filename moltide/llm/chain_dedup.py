@@ -307,13 +307,14 @@ def anchors_of(docs: DataFrame, rows: int) -> DataFrame:
     found = linked(seeds(docs, hot, cuts))
     if not len(hot):
         return found.select("doc", "rep", "place", "held")
+    found = materialise(found, "anchors")
+    release(docs.sparkSession)
     by = Window.partitionBy("h").orderBy("range")  # RANGES rows at most
     ends = found.where("h is not null").withColumn("before", F.lag(F.struct("high", "high_at")).over(by)).withColumn("start", F.first(F.struct("low", "low_at")).over(by)).where("before is not null")
     pairs = F.arrays_zip("low_at", F.col("to.at").alias("at"))
     # of the places of a hot seed in one document those in order are paired, as every other seed's where they are many
     both = ends.select("low", "low_at", F.explode(F.array(F.struct(F.col("before.high").alias("doc"), F.col("before.high_at").alias("at")), F.struct(F.col("start.low").alias("doc"), F.col("start.low_at").alias("at")))).alias("to")).select(F.col("low").alias("doc"), F.col("to.doc").alias("rep"), F.explode(pairs).alias("p"))
     over = both.select("doc", "rep", F.col("p.low_at").alias("place"), F.col("p.at").bitwiseOR(F.lit(BACKED)).alias("held")).where("place is not null and held is not null").distinct()
-    # both parts read the same exchange of seeds
     return found.where("h is null").select("doc", "rep", "place", "held").union(over)
 
 
@@ -500,15 +501,27 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
         cut = F.struct(low.alias("base"), F.substring(F.col("text"), low + 1, high - low).alias("text"), (F.char_length("text") > high).alias("more"))
         # a document that very many others share is split on the side of the requests
         windows = wanted.join(docs.withColumnRenamed("doc", "n"), "n").select(*key, "own", "a", "b", "a_to", "b_to", cut.alias("w"))
-        one = lambda c, own: F.max(F.when(F.col("own") == own, F.col(c))).alias(c)
-        sides = [F.max(F.when(F.col("own") == own, F.col("w"))).alias(c) for c, own in (("x", True), ("y", False))]
-        pairs = windows.groupBy(*key).agg(*sides, *[one(c, True) for c in ("a", "b", "a_to", "b_to")])
-        pairs = pairs.select(*key, "a", "b", "a_to", "b_to", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("text", "base", "more")])
+        # the window of rep comes before that of doc
+        names = [*key, "own", "a", "b", "a_to", "b_to", "base", "text", "more"]
+        sided = windows.select(*names[:-3], "w.base", "w.text", "w.more").repartition(*key).sortWithinPartitions(*key, "own")
+
+        def both(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            left = None
+            for batch in slices(batches, names.index("text"), most=8 << 20):
+                t = pa.Table.from_batches([batch])
+                t = t if left is None else pa.concat_tables([left, t])
+                n = t.num_rows // 2
+                left, t = t.slice(2 * n), t.slice(0, 2 * n)
+                own, other = (t.take(np.arange(k, 2 * n, 2)) for k in (1, 0))
+                columns = [*[own.column(c) for c in (*key, "a", "b", "a_to", "b_to")], *[side.column(c) for side in (own, other) for c in ("text", "base", "more")]]
+                yield from pa.table(columns, [str(k) for k in range(14)]).combine_chunks().to_batches()
 
         def run(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            for batch in slices(batches, 8, 11):
+            for batch in slices(both(batches), 8, 11):
                 out: list[tuple] = []
                 doc, rep, a_from, b_from, a, b, a_to, b_to, x, x_base, x_more, y, y_base, y_more = (c.to_pylist() for c in batch.columns)
                 xs, ys = words_of(x), words_of(y)
@@ -530,7 +543,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ALIGNED)
 
         kinds = "doc long, rep long, start int, end int, first int, last int, similarity double, a array<int>, b array<int>, a_to int, b_to int, a_from int, b_from int"
-        return materialise(pairs.mapInArrow(run, kinds), "aligned")
+        return materialise(sided.mapInArrow(run, kinds), "aligned")
 
     # what comes to the end of a cut is aligned again in longer ones, until all end by themselves or with the texts
     while True:
