@@ -417,39 +417,54 @@ def common_words(x: list[int], y: list[int]) -> int:
 EDITS = [(u, span - u) for span in range(1, 2 * LOOK + 1) for u in sorted(range(max(0, span - LOOK), min(span, LOOK) + 1), key=lambda u: abs(2 * u - span))]
 
 
-def extend(x: list[int], y: list[int], i: int, j: int, step: int) -> tuple[int, int, int, bool]:
-    """How far (positions, and equal words) the alignment goes on from i, j, and whether it came to the end of either text.
-
-    An edit is crossed where two words (at an end of a text, one) agree beyond it; the alignment ends at its best score
-    once the score has fallen by DROP or no such place is near.
+def next_match(x: list[int], y: list[int], p: int, q: int) -> tuple[int, int] | None:
+    """The least edit of EDITS after which two words of both texts (at an end of a text, one) agree."""
+    n, m = len(x), len(y)
+    if n - p > LOOK + 1 and m - q > LOOK + 1:
+        at: dict[tuple[int, int], list[int]] = {}
+        for v in range(LOOK + 1):
+            at.setdefault((y[q + v], y[q + v + 1]), []).append(v)
+        found = [(u + v, abs(u - v), u, v) for u in range(LOOK + 1) for v in at.get((x[p + u], x[p + u + 1]), ())]
+        return min(found)[2:] if found else None
+    for u, v in EDITS:
+        if p + u < n and q + v < m and x[p + u] == y[q + v] and (p + u + 1 == n or q + v + 1 == m or x[p + u + 1] == y[q + v + 1]):
+            return u, v
+    return None
+
+
+def extend(x: list[int], y: list[int], i: int, j: int, step: int, cut: tuple[bool, bool]) -> tuple[int, int, int, bool]:
+    """How far (positions, and equal words) the alignment goes on from i, j, and whether it may go on beyond a cut.
+
+    cut: whether the words of either text are cut off on this side. An edit is crossed where two words (at an end of a
+    text, one) agree beyond it; the alignment ends at its best score once the score has fallen by DROP or no such place is
+    near.
     """
-    n, m = (len(x) - 1 - i, len(y) - 1 - j) if step > 0 else (i, j)  # words left
     x, y = (x[i + 1 :], y[j + 1 :]) if step > 0 else (x[:i][::-1], y[:j][::-1])
+    n, m = len(x), len(y)  # words left
     p = q = same = 0
     score = 0.0
     best = (0.0, 0, 0, 0)
+    on = False
     while True:
         while p < n and q < m and x[p] == y[q]:
             p, q, same, score = p + 1, q + 1, same + 1, score + 1
         if score > best[0]:
             best = (score, p, q, same)
         if score < best[0] - DROP:
-            end = False
             break
-        for u, v in EDITS:
-            if p + u < n and q + v < m and x[p + u] == y[q + v] and (p + u + 1 == n or q + v + 1 == m or x[p + u + 1] == y[q + v + 1]):
-                break
-        else:
-            end = n - p <= 2 * LOOK or m - q <= 2 * LOOK
+        if not (near := next_match(x, y, p, q)):
+            over = p == n and not cut[0] or q == m and not cut[1]
+            on = not over and (cut[0] and n - p <= 2 * LOOK or cut[1] and m - q <= 2 * LOOK)
             break
-        kept = common_words(x[p : p + u], y[q : q + v])
+        u, v = near
+        kept = common_words(x[p : p + u], y[q : q + v]) if u and v else 0
         score += kept - PENALTY * (max(u, v) - kept)
         p, q, same = p + u, q + v, same + kept
-    return i + step * best[1], j + step * best[2], best[3], end
+    return i + step * best[1], j + step * best[2], best[3], on
 
 
-def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[int, int, float, bool, bool]]:
-    """Parts of the words x that a chain (places i in x and j in y) aligns with y: first and last word, similarity, and whether the part came to an end of the words before and after."""
+def align(x: list[int], y: list[int], i: list[int], j: list[int], low: tuple[bool, bool], high: tuple[bool, bool]) -> list[tuple[int, int, float, bool]]:
+    """Parts of the words x that a chain (places i in x and j in y) aligns with y: first and last word, similarity, and whether the part may go on where the words are cut off; low and high: whether either text is cut before and after."""
     parts, same = [], 0
     begin = 0
     for t in range(1, len(i) + 1):
@@ -457,11 +472,11 @@ def align(x: list[int], y: list[int], i: list[int], j: list[int]) -> list[tuple[
         if t < len(i) and kept - PENALTY * (max(i[t] - i[t - 1], j[t] - j[t - 1]) - kept) >= -DROP:
             same += kept
             continue
-        i0, j0, before, low = extend(x, y, i[begin], j[begin], -1)
-        i1, j1, after, high = extend(x, y, i[t - 1], j[t - 1], 1)
+        i0, j0, before, back = extend(x, y, i[begin], j[begin], -1, low)
+        i1, j1, after, ahead = extend(x, y, i[t - 1], j[t - 1], 1, high)
         n, m, all_same = i1 - i0 + 1, j1 - j0 + 1, same + before + after + 1
-        if n >= LEAST_WORDS and all_same >= SIMILARITY * max(n, m):
-            parts.append((i0, i1, all_same / max(n, m), low, high))
+        if back or ahead or n >= LEAST_WORDS and all_same >= SIMILARITY * max(n, m):
+            parts.append((i0, i1, all_same / max(n, m), back or ahead))
         begin, same = t, 0
     return parts
 
@@ -532,9 +547,8 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
                     i0, j0 = int(np.searchsorted(first, a_from[k] - x_base[k])), int(np.searchsorted(ys[1][u:v], b_from[k] - y_base[k]))
                     i, j = [i0 + t - a[k][0] for t in a[k]], [j0 + t - b[k][0] for t in b[k]]
                     again = (a[k], b[k], a_to[k], b_to[k], a_from[k], b_from[k])
-                    for p, q, alike, low, high in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j):
-                        # both texts are cut at the same distance; the alignment goes on if either one does
-                        if (low and (x_base[k] > 0 or y_base[k] > 0)) or (high and (x_more[k] or y_more[k])):
+                    for p, q, alike, on in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j, (x_base[k] > 0, y_base[k] > 0), (x_more[k], y_more[k])):
+                        if on:
                             out.append((doc[k], rep[k], None, None, None, None, None, *again))
                             break
                         out.append((doc[k], rep[k], x_base[k] + int(first[p]), x_base[k] + int(last[q]), p - i0 + a[k][0], q - i0 + a[k][0], alike, *[None] * 6))
