@@ -67,3 +67,9 @@ def hamming_one(a: Column, b: Column) -> Column:
 
 def unversion(gene: Column) -> Column:
     return F.regexp_replace(gene, r"\.[0-9]+$", "")
+
+
+def unpack(code: Column, length: int) -> Column:
+    """The bases of a packed sequence of that length."""
+    digits = F.lpad(F.conv(code.cast("string"), 10, 4), length, "0")
+    return F.translate(digits, "0123", "ACGT")

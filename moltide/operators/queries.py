@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import kleene_any, overlap
-from ..sources.evidence import CHUNK, junction_rows, junctions, placements, span_end, span_start
+from ..sources.evidence import CHUNK, TILE, junction_rows, junctions, placements, span_end, span_start
+
+MOST_REQUESTS = 100_000
 
 
 def umis() -> Column:
@@ -57,12 +59,14 @@ def junction_table(rows: DataFrame, tx: DataFrame, chrom: str, start: int, end:
 
 def batch(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Region and junction requests (id, kind, chrom, start, end) answered in one pass; requests without evidence have zeros."""
-    at = (F.col("r.chrom") == F.col("p.chrom")) & (F.col("r.anchor") >= F.col("p.start")) & (F.col("r.anchor") < F.col("p.end"))
-    p = plan.alias("p")
-    regions = rows.alias("r").join(F.broadcast(p.where("kind = 'region'")), at).select("p.id", "umi_class", "cell")
-    j = junction_rows(rows).alias("r")
-    same = (F.col("r.chrom") == F.col("p.chrom")) & (F.col("donor") == F.col("p.start")) & (F.col("acceptor") == F.col("p.end"))
-    points = j.join(F.broadcast(p.where("kind = 'junction'")), same).select("p.id", "umi_class", "cell")
+    if (n := plan.count()) > MOST_REQUESTS:
+        raise ValueError(f"{n} requests; {MOST_REQUESTS} are allowed")
+    # requests are spread over the tiles that they touch, so that a record meets those of its own tile alone
+    wide = plan.where("kind = 'region'").withColumn("tile", F.explode(F.sequence(F.floor(F.col("start") / TILE), F.floor((F.col("end") - 1) / TILE))))
+    inside = (F.col("anchor") >= F.col("start")) & (F.col("anchor") < F.col("end"))
+    regions = rows.select("chrom", "anchor", "umi_class", "cell", F.floor(F.col("anchor") / TILE).alias("tile")).join(wide, ["chrom", "tile"]).where(inside).select("id", "umi_class", "cell")
+    at = plan.where("kind = 'junction'").select("id", "chrom", F.col("start").alias("donor"), F.col("end").alias("acceptor"))
+    points = junction_rows(rows).join(F.broadcast(at), ["chrom", "donor", "acceptor"]).select("id", "umi_class", "cell")  # MOST_REQUESTS rows at most
     counts = regions.union(points).groupBy("id").agg(umis(), cells())
     return plan.select("id", "kind").join(counts, "id", "left").select("id", "kind", F.col("umis").isNotNull().alias("present"), F.coalesce("umis", F.lit(0)).alias("umis"), F.coalesce("cells", F.lit(0)).alias("cells"))
 
@@ -172,8 +176,12 @@ def discover(rows: DataFrame, tx: DataFrame, gap: int = 1000, min_umis: int = 10
     """Runs of records that overlap no transcript, merged over gaps."""
     all_ = F.concat("reps", "mms")
     spans = rows.select("chrom", F.array_min(F.transform(all_, span_start)).alias("s"), F.array_max(F.transform(all_, span_end)).alias("e"), "umi_class", "cell")
-    genes = tx.select("chrom", span_start(F.col("exons")).alias("ts"), span_end(F.col("exons")).alias("te"))
-    free = spans.join(genes, (spans.chrom == genes.chrom) & (F.col("s") < F.col("te")) & (F.col("e") > F.col("ts")), "left_anti")
+    from .replay import interval_join
+
+    genes = tx.select("chrom", span_start(F.col("exons")).alias("bstart"), span_end(F.col("exons")).alias("bend")).distinct()
+    seen = spans.select("chrom", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
+    claimed = interval_join(seen, genes, ["chrom"]).select("chrom", F.col("start").alias("s"), F.col("end").alias("e")).distinct()
+    free = spans.join(claimed, ["chrom", "s", "e"], "left_anti")
     shapes = free.groupBy("chrom", "s", "e").count()
     w = Window.partitionBy("chrom").orderBy("s", "e")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import hamming_one
 from ..sources.evidence import TILE, junctions, placements, span_end, span_start
 
 
@@ -33,8 +32,9 @@ def gene_rows(rows: DataFrame, tx: DataFrame, strand: str = "forward", full: boo
 
     full: a block that overlaps the gene's span is enough, as for intron-inclusive counts.
     """
-    p = placements(rows).withColumn("row", F.monotonically_increasing_id()).withColumn("start", span_start(F.col("blocks"))).withColumn("end", span_end(F.col("blocks")))
-    keys = ["chrom"]
+    # rows of equal content are decided together, and stay as many as they are
+    keys, own = ["chrom"], ["sample", "cell", "umi_class", "chrom", "strand_rev", "weight", "blocks"]
+    p = placements(rows).groupBy(*own).agg(F.count("*").alias("copies")).withColumn("start", span_start(F.col("blocks"))).withColumn("end", span_end(F.col("blocks")))
     t = tx.withColumnRenamed("strand_rev", "gene_rev")
     if full:
         genes = t.groupBy("chrom", "gene_id", "gene_rev").agg(F.min(span_start(F.col("exons"))).alias("bstart"), F.max(span_end(F.col("exons"))).alias("bend"))
@@ -44,7 +44,8 @@ def gene_rows(rows: DataFrame, tx: DataFrame, strand: str = "forward", full: boo
         fits = concordant(F.col("blocks"), F.col("exons"))
     strands = {"forward": F.col("strand_rev") == F.col("gene_rev"), "reverse": F.col("strand_rev") != F.col("gene_rev"), "unstranded": F.lit(True)}
     found = interval_join(p, genes, keys).where(strands[strand] & fits)
-    return found.groupBy("row", "sample", "cell", "umi_class", "weight").agg(F.min("gene_id").alias("gene_id"), F.max("gene_id").alias("other")).where("gene_id = other").drop("other")
+    one = found.groupBy(*own, "copies").agg(F.min("gene_id").alias("gene_id"), F.max("gene_id").alias("other")).where("gene_id = other")
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("sample", "cell", "umi_class", "weight", "gene_id")
 
 
 def best_gene(found: DataFrame) -> DataFrame:
@@ -54,10 +55,11 @@ def best_gene(found: DataFrame) -> DataFrame:
 
 
 def umi_edges(rows: DataFrame) -> DataFrame:
-    """Classes of a cell that differ in one base."""
+    """Classes of a cell that differ in one base: each class's neighbours are made, and met by (cell, class)."""
     c = rows.select("cell", "umi_class").distinct()
-    a, b = c.withColumnRenamed("umi_class", "a"), c.withColumnRenamed("umi_class", "b")
-    return a.join(b, "cell").where((F.col("a") < F.col("b")) & hamming_one(F.col("a"), F.col("b")))
+    near = F.array(*[F.col("umi_class").bitwiseXOR(F.lit(x << (2 * i)).cast("long")) for i in range(12) for x in (1, 2, 3)])
+    a = c.select("cell", F.col("umi_class").alias("a"), F.explode(near).alias("b")).where("a < b")
+    return a.join(c.withColumnRenamed("umi_class", "b"), ["cell", "b"]).select("cell", "a", "b")
 
 
 def collapse(best: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,3 +127,42 @@ def equivalence_classes(rows: DataFrame, tx: DataFrame) -> DataFrame:
     status = F.when(F.col("unmatched") > 0, "no_compatible").when(F.col("ts").isNull(), "conflict").otherwise("assigned")
     named = each.join(sets, ["cell", "umi_class"], "left").withColumn("status", status).withColumn("ts", F.when(F.col("status") == "assigned", F.col("ts")))
     return named.groupBy("status", F.sha2(F.array_join("ts", ","), 256).alias("ec_id"), F.coalesce(F.size("ts"), F.lit(0)).alias("transcripts")).agg(F.count("*").alias("classes"), F.count_distinct("cell").alias("cells"))
+
+
+def versus(blocks: Column, exons: Column) -> Column:
+    """How a placement lies to a transcript: Concordant, ExonIntron, Intron, ExonIntronSpan or Incompatible."""
+    inside = lambda b: F.exists(exons, lambda e: (b["start"] >= e["start"]) & (b["end"] <= e["end"]))
+    off = lambda b: F.forall(exons, lambda e: (b["end"] <= e["start"]) | (b["start"] >= e["end"]))
+    beyond = (span_start(blocks) < span_start(exons)) | (span_end(blocks) > span_end(exons))
+    spliced = F.forall(junctions(blocks), lambda j: F.array_contains(junctions(exons), j))
+    crossing = F.exists(blocks, lambda b: ~inside(b) & ~off(b))
+    state = F.when(beyond | ~spliced, "Incompatible").when(crossing, "ExonIntronSpan").when(F.forall(blocks, inside), "Concordant")
+    return state.when(F.exists(blocks, inside), "ExonIntron").otherwise("Intron")
+
+
+def states(rows: DataFrame, tx: DataFrame) -> DataFrame:
+    """Distinct placements (with `copies`) and transcripts of either strand whose spans meet, and how they lie to each other."""
+    p = placements(rows).groupBy("chrom", "strand_rev", "blocks").agg(F.count("*").alias("copies"))
+    p = p.withColumn("start", span_start(F.col("blocks"))).withColumn("end", span_end(F.col("blocks")))
+    t = tx.withColumnRenamed("strand_rev", "gene_rev").withColumn("bstart", span_start(F.col("exons"))).withColumn("bend", span_end(F.col("exons")))
+    return interval_join(p, t, ["chrom"]).withColumn("state", versus(F.col("blocks"), F.col("exons")))
+
+
+def survivors(best: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """cell, gene_id, umi_class and survivor: the class into which each one collapses, step by step to its first-ranked neighbour.
+
+    Every class points to the neighbour of the same cell and gene that ranks before it and all others; pointers are doubled
+    until none moves, and each round's table ends the lineage.
+    """
+    both = edges.union(edges.select("cell", F.col("b").alias("a"), F.col("a").alias("b")))
+    other = best.select("cell", "gene_id", F.col("umi_class").alias("b"), F.col("w").alias("wb"))
+    met = best.withColumnRenamed("umi_class", "a").join(both, ["cell", "a"]).join(other, ["cell", "gene_id", "b"]).where("wb > w or wb = w and b < a")
+    first = met.groupBy("cell", "gene_id", "a").agg(F.min_by("b", F.struct(-F.col("wb"), "b")).alias("to"))
+    now = best.select("cell", "gene_id", F.col("umi_class").alias("a")).join(first, ["cell", "gene_id", "a"], "left").select("cell", "gene_id", "a", F.coalesce("to", "a").alias("to")).checkpoint()
+    for _ in range(rounds):
+        step = now.select("cell", "gene_id", F.col("a").alias("to"), F.col("to").alias("next"))
+        moved = now.join(step, ["cell", "gene_id", "to"]).select("cell", "gene_id", "a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")).checkpoint()
+        now = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return now.select("cell", "gene_id", F.col("a").alias("umi_class"), F.col("to").alias("survivor"))
+    raise RuntimeError(f"survivors still move after {rounds} rounds")

@@ -1,5 +1,5 @@
 """Registered queries."""
 
-from . import catalogue, more
+from . import catalogue, more, stored
 
-__all__ = ["catalogue", "more"]
+__all__ = ["catalogue", "more", "stored"]

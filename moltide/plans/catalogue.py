@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..operators import ingest
 from ..operators import queries as Q
 from ..operators import replay as R
+from ..sources import archive as A
 from ..sources import evidence as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,10 +53,10 @@ cat as (select chrom, donor, acceptor, count(*) as n from aj group by all),
 
 
 def register(name: str, sql: str | None = None, common: bool = True):  # noqa: ANN201
-    """Register the function of records (or of spark and sf_dir, if it takes two) under the name; sql is its main part."""
+    """Register the function of stored records (or of spark and sf_dir, if it takes two) under the name; sql is its main part."""
 
     def add(f):  # noqa: ANN001, ANN202
-        QUERIES[name] = f if f.__code__.co_argcount == 2 else lambda spark, sf_dir: f(E.records(spark, sf_dir))
+        QUERIES[name] = f if f.__code__.co_argcount == 2 else lambda spark, sf_dir: f(A.evidence(spark, sf_dir))
         if sql:
             ORACLES[name] = COMMON + sql if common else sql
         return f
@@ -98,7 +99,7 @@ for _by in ("grp", "sample", "cell"):
     def q_region(rows: DataFrame, by: str = _by) -> DataFrame:
         return Q.region(rows, "chr1", 280, 1080, [by])
 
-    QUERIES[f"q_region_{_by}"] = lambda spark, sf_dir, by=_by: Q.region(E.records(spark, sf_dir), "chr1", 280, 1080, [by])
+    QUERIES[f"q_region_{_by}"] = lambda spark, sf_dir, by=_by: Q.region(A.stored_region(spark, A.evidence_path(spark, sf_dir), "chr1", 280, 1080), "chr1", 280, 1080, [by])
 
 
 @register("q_junction", "z as (select 1) select grp, count(distinct umi_class) as umis, count(distinct cell) as cells from aj where chrom = 'chr1' and donor = 300 and acceptor = 480 group by grp")

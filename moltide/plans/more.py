@@ -9,6 +9,7 @@ from ..operators import ends as N
 from ..operators import ingest as I
 from ..operators import queries as Q
 from ..operators import replay as R
+from ..sources import archive as A
 from ..sources import evidence as E
 from . import pipeline_language as L
 from .catalogue import COUNTS, EVENTS, FORWARD, ORACLES, OVER, THREE, cand, register, tx_of
@@ -137,7 +138,7 @@ def col_tails(rows: DataFrame) -> DataFrame:
 def j_left_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by an optional column of the cells' metadata; cells without it keep a group of their own."""
     meta = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("long").alias("cell"), F.col("c_mktsegment").alias("cell_type"))
-    return E.records(spark, sf_dir).join(meta, "cell", "left").groupBy("cell_type").agg(F.count("*").alias("records"), Q.umis())
+    return A.evidence(spark, sf_dir).join(meta, "cell", "left").groupBy("cell_type").agg(F.count("*").alias("records"), Q.umis())
 
 
 @register("a_populations", OVER + SQL + "select sample, count(*) filter (ov.record_id is not null) as population_units, count(*) as source_scope_units, count(distinct cell) as source_scope_cells from rec left join ov using (record_id) group by sample")

@@ -338,7 +338,9 @@ class Compiler:
             if j == "count":
                 wrong = F.raise_error(F.lit(f"{op} of counts has no result"))
                 return j, F.when(x < y, wrong).otherwise(x - y) if op == "-" else F.when(y == 0, wrong).otherwise(F.floor(x / y)).cast("long") if op == "/" else x + y if op == "+" else x * y
-            return j, F.try_divide(x, y) if op == "/" else x + y if op == "+" else x - y if op == "-" else x * y
+            endless = F.raise_error(F.lit(f"{op} of numbers has no finite result"))
+            z = F.when(y == 0, endless).otherwise(F.try_divide(x, y)) if op == "/" else x + y if op == "+" else x - y if op == "-" else x * y
+            return j, F.when(z.isNull() | (F.abs(z) < float("inf")), z).otherwise(endless)
         if op in ("any", "all"):
             return "truth", self.quantified(op, e[1], e[2], env, mm)
         if op in ("junction", ">>", "~>"):
@@ -463,6 +465,8 @@ class Compiler:
         for s in self.doc["stages"][1:]:
             if s[0] == "where":
                 k, p = self.value(s[1], env)
+                if k != "truth":
+                    raise QueryError(f"where needs a predicate, not a {k}")
                 df = do(lambda d, p=p: d.where(p))
             elif s[0] == "derive":
                 for n, e in s[1]:

@@ -35,7 +35,3 @@ def test_oracle(spark, con, name):
 
 def test_all_have_oracles():
     assert set(QUERIES) == set(ORACLES)
-
-
-def test_no_query_is_named_after_the_missing_parser():
-    assert "src_gtf" not in QUERIES and "src_gene_spans" in QUERIES
