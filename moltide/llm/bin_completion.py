@@ -31,7 +31,7 @@ from .common import materialise, number_rows, slices, table
 
 CAPACITY, END_ID = 2048, 0
 #: Bytes of chunks and their ids, as counted here, that a worker remembers.
-REMEMBERED, ENTRY = 48 << 20, 250
+REMEMBERED, ENTRY = 96 << 20, 200
 #: Nodes that the branch and bound may open, on the driver, where best fit needs more sequences than the lower bound; a
 #: filling's search counts once more for each LENGTHS lengths, up to which the lower bound is taken at each node.
 NODES, LENGTHS = 300_000, 64
@@ -94,7 +94,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
         import pyarrow as pa
 
         tok = chunk_tokenizer(tokenizer)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, most=2 << 20):
             rows: list[tuple] = []
             for d, ids in zip(batch.column(0).to_pylist(), tok.encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 ids += END_ID.to_bytes(4, "little")

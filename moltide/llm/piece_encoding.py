@@ -27,7 +27,7 @@ from .common import slices, table
 
 SPACE = "▁"
 #: Bytes of words and their ids, as counted here, that a worker remembers.
-REMEMBERED, ENTRY = 48 << 20, 300
+REMEMBERED, ENTRY = 96 << 20, 250
 
 
 class CharacterMap:
