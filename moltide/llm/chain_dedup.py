@@ -4,7 +4,8 @@ Words are runs of letters and digits, case folded. From every text come seeds, t
 in some window of WINDOW neighbouring k-mers: an equal run of WINDOW + K - 1 words has one seed at least. A seed that
 several documents hold links each of them to the first (by id) that holds it and to the one before it, never all to all.
 Between two documents, seeds are chained in order, a chain paying for the gaps between its seeds; a Fenwick tree of best
-prefixes finds the best chain to extend. A single seed is a chain too. Where a chain spans less than eight words, three of
+prefixes finds the best chain to extend. A document whose whole text an earlier one holds is one passage, of the first such
+document, and takes no part in the chains of others. A single seed is a chain too. Where a chain spans less than eight words, three of
 the four words before and after one of its seeds must agree as well, which holds wherever it lies in eight equal words. Chains are aligned word by word over the texts
 around them until the texts no longer agree, and what aligns well enough is a passage. Passages of a document that touch
 are merged, whatever documents they come from, and those of MIN_WORDS or more stay.
@@ -28,19 +29,19 @@ from .common import discard, materialise, ranked, release, slices, table
 K, WINDOW = 5, 6
 #: What a seed adds to a chain's score and what each word of a gap, in either text, takes away.
 SEED_SCORE, GAP_COST = 8.0, 0.1
-#: Fewer aligned words than LEAST_WORDS are chance. MARGIN: characters around a chain; more where an alignment reaches the end.
-LEAST_SEEDS, LEAST_WORDS, SIMILARITY, MIN_WORDS, MARGIN = 1, 7, 0.7, 40, 160
+#: Fewer aligned words than LEAST_WORDS are chance. MARGIN: characters around a chain; whole texts where an alignment reaches the end.
+LEAST_SEEDS, LEAST_WORDS, SIMILARITY, MIN_WORDS, MARGIN = 1, 7, 0.7, 40, 320
 #: What a word that differs takes from an alignment's score, how far the score may fall, and how many words an edit spans.
 PENALTY, DROP, LOOK = SIMILARITY / (1 - SIMILARITY), 16.0, 8
-#: Words between two passages that are one; alignments that are few enough to be sent to all tasks as a list.
-BETWEEN, FEW = 3, 50_000
+#: Words between two passages that are one; documents that are few enough to be sent to all tasks as a list of ids.
+BETWEEN, FEW = 3, 500_000
 #: Holders from which a seed is hot: its rows are dealt by ranges of ids; and places times places that are all paired.
 HOT, RANGES, PLACES = 1_000, 64, 64
 #: Neighbouring words on either side of a seed that it brings along, and how many must agree if a few words are to be a chain.
 AROUND, BACKING = 4, 3
 #: Documents in which hot seeds are looked for, and how many such seeds are listed.
 SAMPLED, MOST_HOT = 5_000, 100_000
-ALIGNED = ["doc", "rep", "start", "end", "first", "last", "similarity", "a", "b", "a_to", "b_to", "a_from", "b_from"]
+ALIGNED = ["doc", "rep", "start", "end", "first", "last", "similarity", "a", "b"]
 MULT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -481,6 +482,15 @@ def align(x: list[int], y: list[int], i: list[int], j: list[int], low: tuple[boo
     return parts
 
 
+def aligned_batch(rows: list[tuple], width: int):  # noqa: ANN201
+    """Rows of the first `width` columns of ALIGNED as a batch."""
+    import pyarrow as pa
+
+    kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 2)[:width]
+    columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * width
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ALIGNED[:width])
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, int]:
     """Documents as doc and text, what doc stands for (doc, doc_id, text_hash) if ids repeat, and how many rows there are.
 
@@ -497,78 +507,101 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFra
     return materialise(docs, "docs"), names, rows
 
 
+def copies_of(docs: DataFrame) -> DataFrame:
+    """doc and source of each document whose whole text an earlier one holds too, the first of them; 128 bits of hash tell texts apart."""
+    hashed = docs.select("doc", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    least = materialise(hashed.groupBy("h", "g").agg(F.min("doc").alias("source"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
+    # a join of plain exchanges, so that adaptive execution can split a very large group of copies
+    out = materialise(hashed.join(least, ["h", "g"]).where("doc <> source").select("doc", "source"), "copies")
+    discard(least)
+    return out
+
+
+def whole_texts(copies: DataFrame) -> DataFrame:
+    """Documents (doc, source, text) as passages from their first word to their last."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 2):
+            _, begin, end, text = words_of(batch.column(2).to_pylist())
+            s, e = (np.searchsorted(text, np.arange(batch.num_rows), side) for side in ("left", "right"))
+            keep = np.nonzero(e > s)[0]
+            s, e, n = s[keep], e[keep], len(keep)
+            taken = batch.take(pa.array(keep))
+            columns = [taken.column(0), taken.column(1), begin[s], end[e - 1], np.zeros(n), e - s - 1, np.ones(n)]
+            kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c if k < 2 else c.astype(t.to_pandas_dtype()), t) for k, (c, t) in enumerate(zip(columns, kinds, strict=True))], ALIGNED[:7])
+
+    return copies.select("doc", "source", "text").mapInArrow(run, "doc long, rep long, start int, end int, first int, last int, similarity double")
+
+
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start and end (characters), words, similarity and source_doc_id of each passage that an earlier document holds too.
 
     text_hash is that of the document's text where ids repeat, else null.
     """
-    docs, names, rows = keyed(df, id_col, text_col)
+    every, names, rows = keyed(df, id_col, text_col)
+    copies = copies_of(every)
+    listed = F.broadcast(copies) if copies.count() <= FEW else copies
+    docs = every.join(listed, "doc", "left_anti")
     todo = materialise(chains(anchors_of(docs, rows)), "chains")
     release(df.sparkSession)
-    margin, done, key = MARGIN, [], ["doc", "rep", "a_from", "b_from"]
-
-    def aligned_within(found: DataFrame, margin: int) -> DataFrame:
-        low, high = F.greatest(F.col("from") - margin, F.lit(0)), F.col("to") + margin
-        wanted = found.select(F.col("doc").alias("n"), *key, F.col("a_from").alias("from"), F.col("a_to").alias("to"), F.lit(True).alias("own"), "a", "b", "a_to", "b_to")
-        wanted = wanted.union(found.select(F.col("rep").alias("n"), *key, F.col("b_from").alias("from"), F.col("b_to").alias("to"), F.lit(False).alias("own"), *[F.lit(None).alias(c) for c in ("a", "b", "a_to", "b_to")]))
-        if found.count() <= FEW:  # what the first round leaves over is little: a list of bounded size, and no text moves
-            wanted = F.broadcast(wanted)
-        cut = F.struct(low.alias("base"), F.substring(F.col("text"), low + 1, high - low).alias("text"), (F.char_length("text") > high).alias("more"))
-        # a document that very many others share is split on the side of the requests
-        windows = wanted.join(docs.withColumnRenamed("doc", "n"), "n").select(*key, "own", "a", "b", "a_to", "b_to", cut.alias("w"))
-        # the window of rep comes before that of doc
-        names = [*key, "own", "a", "b", "a_to", "b_to", "base", "text", "more"]
-        sided = windows.select(*names[:-3], "w.base", "w.text", "w.more").repartition(*key).sortWithinPartitions(*key, "own")
-
-        def both(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            left = None
-            for batch in slices(batches, names.index("text"), most=8 << 20):
-                t = pa.Table.from_batches([batch])
-                t = t if left is None else pa.concat_tables([left, t])
-                n = t.num_rows // 2
-                left, t = t.slice(2 * n), t.slice(0, 2 * n)
-                own, other = (t.take(np.arange(k, 2 * n, 2)) for k in (1, 0))
-                columns = [*[own.column(c) for c in (*key, "a", "b", "a_to", "b_to")], *[side.column(c) for side in (own, other) for c in ("text", "base", "more")]]
-                yield from pa.table(columns, [str(k) for k in range(14)]).combine_chunks().to_batches()
-
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            for batch in slices(both(batches), 8, 11):
-                out: list[tuple] = []
-                doc, rep, a_from, b_from, a, b, a_to, b_to, x, x_base, x_more, y, y_base, y_more = (c.to_pylist() for c in batch.columns)
-                xs, ys = words_of(x), words_of(y)
-                x_at, y_at = (np.searchsorted(w[3], np.arange(len(doc) + 1)) for w in (xs, ys))
-                for k in range(len(doc)):
-                    s, e, u, v = x_at[k], x_at[k + 1], y_at[k], y_at[k + 1]
-                    first, last = xs[1][s:e], xs[2][s:e]
-                    i0, j0 = int(np.searchsorted(first, a_from[k] - x_base[k])), int(np.searchsorted(ys[1][u:v], b_from[k] - y_base[k]))
-                    i, j = [i0 + t - a[k][0] for t in a[k]], [j0 + t - b[k][0] for t in b[k]]
-                    again = (a[k], b[k], a_to[k], b_to[k], a_from[k], b_from[k])
-                    for p, q, alike, on in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j, (x_base[k] > 0, y_base[k] > 0), (x_more[k], y_more[k])):
-                        if on:
-                            out.append((doc[k], rep[k], None, None, None, None, None, *again))
-                            break
-                        out.append((doc[k], rep[k], x_base[k] + int(first[p]), x_base[k] + int(last[q]), p - i0 + a[k][0], q - i0 + a[k][0], alike, *[None] * 6))
-                columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 13
-                kinds = (*[pa.int64()] * 2, *[pa.int32()] * 4, pa.float64(), *[pa.list_(pa.int32())] * 2, *[pa.int32()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ALIGNED)
-
-        kinds = "doc long, rep long, start int, end int, first int, last int, similarity double, a array<int>, b array<int>, a_to int, b_to int, a_from int, b_from int"
-        return materialise(sided.mapInArrow(run, kinds), "aligned")
-
-    # what comes to the end of a cut is aligned again in longer ones, until all end by themselves or with the texts
-    while True:
-        got = aligned_within(todo, margin)
-        done.append(got.where("a is null").select("doc", "rep", "start", "end", "first", "last", "similarity"))
-        discard(todo)
-        release(df.sparkSession)
-        todo = got.where("a is not null").select(*todo.columns)
-        if todo.isEmpty():
-            break
-        margin *= 4
+    done = [whole_texts(every.join(listed, "doc"))]
+
+    def sided(found: DataFrame, texts: DataFrame, window: bool) -> DataFrame:
+        """found with the text, base and whether the text goes on, of both sides' windows or of whole texts."""
+        whole = texts.select(F.col("doc").alias("n"), F.col("text").alias("whole"))
+        # a document that very many others share is met by requests without text, and split on their side; all others
+        # meet in the tasks of the later documents
+        for side, begin, end in (("rep", "b_from", "b_to"), ("doc", "a_from", "a_to")):
+            low, high = F.greatest(F.col(begin) - MARGIN, F.lit(0)), F.col(end) + MARGIN
+            cut = [F.substring("whole", low + 1, high - low), low, F.char_length("whole") > high] if window else [F.col("whole")]
+            found = found.join(whole, F.col(side) == F.col("n")).select(*found.columns, *[c.alias(f"{side}_{k}") for c, k in zip(cut, ("text", "base", "more"), strict=False)])
+        return found
+
+    def within(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 8, 11):
+            out: list[tuple] = []
+            doc, rep, a, b, a_from, a_to, b_from, b_to, y, y_base, y_more, x, x_base, x_more = (batch.column(k).to_pylist() for k in range(14))
+            xs, ys = words_of(x), words_of(y)
+            x_at, y_at = (np.searchsorted(w[3], np.arange(len(doc) + 1)) for w in (xs, ys))
+            for k in range(len(doc)):
+                s, e, u, v = x_at[k], x_at[k + 1], y_at[k], y_at[k + 1]
+                first, last = xs[1][s:e], xs[2][s:e]
+                i0, j0 = int(np.searchsorted(first, a_from[k] - x_base[k])), int(np.searchsorted(ys[1][u:v], b_from[k] - y_base[k]))
+                i, j = [i0 + t - a[k][0] for t in a[k]], [j0 + t - b[k][0] for t in b[k]]
+                for p, q, alike, on in align(xs[0][s:e].tolist(), ys[0][u:v].tolist(), i, j, (x_base[k] > 0, y_base[k] > 0), (x_more[k], y_more[k])):
+                    if on:
+                        out.append((doc[k], rep[k], None, None, None, None, None, a[k], b[k]))
+                        break
+                    out.append((doc[k], rep[k], x_base[k] + int(first[p]), x_base[k] + int(last[q]), p - i0 + a[k][0], q - i0 + a[k][0], alike, None, None))
+            yield aligned_batch(out, 9)
+
+    def whole(batches: Iterator) -> Iterator:
+        for batch in slices(batches, 3, 4):
+            for doc, rep, found, y, x in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                (xs, first, last, _), ys = words_of([x]), words_of([y])[0].tolist()
+                xs, out = xs.tolist(), []
+                for c in found:
+                    parts = align(xs, ys, c["a"], c["b"], (False, False), (False, False))
+                    out += [(doc, rep, int(first[p]), int(last[q]), p, q, alike) for p, q, alike, _ in parts]
+                yield aligned_batch(list(dict.fromkeys(out)), 7)
+
+    kinds = "doc long, rep long, start int, end int, first int, last int, similarity double"
+    got = materialise(sided(todo, docs, True).mapInArrow(within, f"{kinds}, a array<int>, b array<int>"), "aligned")
+    done.append(got.where("a is null").select(*ALIGNED[:7]))
+    discard(todo)
+    release(df.sparkSession)
+    # what comes to the end of a window is aligned again in whole texts, all chains of two documents at once
+    again = materialise(got.where("a is not null").groupBy("doc", "rep").agg(F.collect_list(F.struct("a", "b")).alias("chains")), "again")
+    wanted = again.select("doc").union(again.select("rep")).distinct()
+    wanted = F.broadcast(wanted) if 2 * again.count() <= FEW else wanted
+    done.append(materialise(sided(again, docs.join(wanted, "doc", "left_semi"), False).mapInArrow(whole, kinds), "aligned"))
+    discard(again)
+    release(df.sparkSession)
     pieces = done[0]
     for other in done[1:]:
         pieces = pieces.union(other)
