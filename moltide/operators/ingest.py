@@ -11,6 +11,8 @@ BLOCKS = "array<struct<start:bigint,end:bigint>>"
 STATE = f"struct<done:{BLOCKS},start:bigint,end:bigint,ref:bigint>"
 #: Least share of the posterior that a corrected barcode needs; the largest quality that counts.
 POSTERIOR, MOST_QUALITY, BARCODE = 0.975, 33, 16
+#: Parts of a barcode that are left out in turn; the byte of a quality that is not given.
+QUARTERS, MISSING = 4, 127
 
 
 def cigar_blocks(pos: Column, cigar: Column) -> Column:
@@ -36,17 +38,33 @@ def correct_barcodes(reads: DataFrame, whitelist: DataFrame) -> DataFrame:
     """reads (read, code, quals) with `cell`: the code itself if listed, else the neighbour at one base that holds enough of the posterior.
 
     Codes are 16 bases of two bits, the first base highest; quals has their 16 Phred values, or is null. A neighbour weighs
-    (exact reads of it + 1) x the chance of an error at its base. Neighbours are made by arithmetic and meet the list in an
-    equi-join, so that no read is compared with the whole list.
+    (exact reads of it + 1) x the chance of an error at its base, 0.01 where the quality is missing. Codes one base apart
+    agree in three of their four quarters: each is dealt four times, with one quarter left out, and meets its neighbours once
+    and 255 others at most. Neither side is small by nature, so none is broadcast.
     """
     known = whitelist.select("code").distinct()
-    exact = reads.join(known, "code", "left_semi")
-    counts = known.join(exact.groupBy("code").agg(F.count("*").alias("n")), "code", "left").select(F.col("code").alias("cell"), F.coalesce("n", F.lit(0)).alias("n"))
-    shift = lambda i: (1 << (2 * (BARCODE - 1 - i)))
-    near = F.array(*[F.struct(F.col("code").bitwiseXOR(F.lit(x * shift(i))).alias("cell"), F.lit(i).alias("at")) for i in range(BARCODE) for x in (1, 2, 3)])
-    error = F.coalesce(F.pow(F.lit(10.0), -F.least(F.greatest(F.get("quals", F.col("x.at")), F.lit(0)), F.lit(MOST_QUALITY)) / 10.0), F.lit(0.01))
-    tried = reads.join(known, "code", "left_anti").withColumn("x", F.explode(near)).select("read", "code", "x.cell", error.alias("error")).join(counts, "cell")
-    best = tried.withColumn("w", (F.col("n") + 1) * F.col("error")).groupBy("read", "code").agg(F.max_by("cell", "w").alias("cell"), (F.max("w") / F.sum("w")).alias("share")).where(F.col("share") > POSTERIOR)
+    listed = known.hint("merge")
+    exact = reads.join(listed, "code", "left_semi")
+    counts = known.join(exact.groupBy("code").agg(F.count("*").alias("n")).hint("merge"), "code", "left").select(F.col("code").alias("cell"), F.coalesce("n", F.lit(0)).alias("n"))
+
+    def dealt(df: DataFrame, code: str, *columns: Column) -> DataFrame:
+        kept = [F.col(code).bitwiseAND(F.lit(~(0xFF << (8 * (QUARTERS - 1 - k))))) for k in range(QUARTERS)]
+        return df.withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("quarter"), c.alias("rest"), *[f(k) for f in columns]) for k, c in enumerate(kept)])))
+
+    def quality(k: int) -> Column:
+        """The four qualities of a quarter, a byte each, MISSING for those that are not there."""
+        each = [F.get("quals", F.lit(4 * k + i)) for i in range(4)]
+        return sum(F.coalesce(F.when(q > MOST_QUALITY, MOST_QUALITY).when(q < 0, 0).otherwise(q), F.lit(MISSING)).cast("int") * (1 << 8 * i) for i, q in enumerate(each)).alias("q")
+
+    a = dealt(reads.join(listed, "code", "left_anti"), "code", quality).select("read", "code", "x.*")
+    b = dealt(counts, "cell").select("cell", "n", "x.*").hint("merge")
+    d = F.col("code").bitwiseXOR(F.col("cell"))
+    one = F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x55555555))) == 1
+    base = BARCODE - 1 - F.floor((F.length(F.bin(d)) - 1) / 2).cast("int")
+    q = F.expr("shiftright(q, cast(8 * (at % 4) as int)) & 255")
+    error = F.when(q == MISSING, 0.01).otherwise(F.pow(F.lit(10.0), -q / 10.0))
+    tried = a.join(b, ["quarter", "rest"]).where(one).withColumn("at", base).select("read", "code", "cell", ((F.col("n") + 1) * error).alias("w"))
+    best = tried.groupBy("read", "code").agg(F.max_by("cell", "w").alias("cell"), (F.max("w") / F.sum("w")).alias("share")).where(F.col("share") > POSTERIOR)
     return exact.select("read", "code", F.col("code").alias("cell")).union(best.select("read", "code", "cell"))
 
 

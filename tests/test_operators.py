@@ -68,3 +68,23 @@ def test_cells_are_renumbered_beyond_the_first_forty(spark):
     want = {c: i for i, c in enumerate(sorted(count, key=lambda c: (-count[c], c)))}
     assert {r.cell: (r.n, r.new_id) for r in ingest.cell_numbers(rows).collect()} == {c: (count[c], i) for c, i in want.items()}
     assert sorted(map(tuple, ingest.renumber_cells(rows).collect())) == sorted((want[c], k) for c, k in cells)
+
+
+def test_barcodes_meet_their_neighbours_without_a_broadcast(spark):
+    listed = [0, 5, 0x40000000, 0xC0000000, 0xFFFFFFFF]
+    quals = [[30] * 16, [30] * 15 + [2], None, [0] * 16, [None] * 16]
+    reads = [(i, code, q) for i, (code, q) in enumerate((c ^ x, q) for c in listed for x in (0, 1, 2 << 30, 3 << 14) for q in quals)]
+    df = spark.createDataFrame(reads, "read long, code long, quals array<int>")
+    exact = {c: sum(r[1] == c for r in reads) for c in listed}
+    want = {}
+    for i, code, q in reads:
+        if code in exact:
+            want[i] = code
+            continue
+        at = {c: next(k for k in range(16) if (code ^ c) >> (2 * (15 - k)) & 3) for c in listed if sum((code ^ c) >> (2 * k) & 3 > 0 for k in range(16)) == 1}
+        w = {c: (exact[c] + 1) * (0.01 if q is None or q[k] is None else 10 ** (-min(max(q[k], 0), 33) / 10)) for c, k in at.items()}
+        if w and max(w.values()) / sum(w.values()) > ingest.POSTERIOR:
+            want[i] = max(w, key=w.get)
+    found = ingest.correct_barcodes(df, spark.createDataFrame([(c,) for c in listed], "code long"))
+    assert {r.read: r.cell for r in found.collect()} == want
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
