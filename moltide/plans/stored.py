@@ -223,7 +223,7 @@ select cast(w.cell as bigint) as cell, w.gene_id, cast(w.a as bigint) as umi_cla
 def rp_canon(rows: DataFrame) -> DataFrame:
     if not rows.sparkSession.sparkContext.getCheckpointDir():
         rows.sparkSession.sparkContext.setCheckpointDir(f"{A.scratch(rows.sparkSession)}/rounds")
-    return R.survivors(R.best_gene(R.gene_rows(rows, tx_of(rows))), R.umi_edges(rows))
+    return R.survivors(R.best_of(rows, tx_of(rows)))
 
 
 ORACLES["rp_canon"] = ORACLES["rp_canon"].replace("with base", "with recursive base", 1)

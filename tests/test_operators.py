@@ -88,3 +88,38 @@ def test_barcodes_meet_their_neighbours_without_a_broadcast(spark):
     found = ingest.correct_barcodes(df, spark.createDataFrame([(c,) for c in listed], "code long"))
     assert {r.read: r.cell for r in found.collect()} == want
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_records_of_one_geometry_are_decided_once(spark):
+    kind = "array<struct<start:bigint,end:bigint>>"
+    tx = spark.createDataFrame([("c", "g1", "t1", False, [(0, 100), (200, 300)]), ("c", "g1", "t2", False, [(0, 100), (250, 300)]), ("c", "g2", "t3", False, [(40, 90)]), ("d", "g3", "t4", True, [(5000, 9000)])], f"chrom string, gene_id string, transcript_id string, strand_rev boolean, exons {kind}")
+    wide = [dict(start=10, end=20)], [dict(start=50, end=60)], [dict(start=80, end=100), dict(start=200, end=210)], [dict(start=400, end=410)], [dict(start=8000, end=8001)]
+    rows = spark.createDataFrame([("s", 1, 1, "c", False, 2, [wide[0], wide[2]], []), ("s", 1, 1, "c", False, 3, [], [wide[0]]), ("s", 1, 2, "c", False, 5, [wide[1]], []), ("s", 2, 3, "c", False, 1, [wide[3]], []), ("s", 2, 4, None, None, 1, [wide[0]], []), ("s", 2, 5, "d", True, 7, [wide[4], wide[4]], []), ("s", 2, 6, "c", False, 9, [], [])], f"sample string, cell long, umi_class long, chrom string, strand_rev boolean, weight long, reps array<{kind}>, mms array<{kind}>")
+    some = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    plan = R.audit(rows, tx)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("umi_class" in line for line in plan.splitlines() if "Aggregate" in line or "Join" in line)
+    assert some(R.audit(rows, tx), "bucket", "rows_", "reads") == [("multi", 1, 5), ("none", 2, 2), ("single", 5, 21)]
+    assert some(R.fates(rows, tx), "fate", "classes", "cells") == [("multi_only", 1, 1), ("no_gene", 2, 1), ("single", 2, 2)]
+    assert some(R.equivalence_classes(rows, tx), "status", "transcripts", "classes", "cells") == [("assigned", 1, 1, 1), ("assigned", 1, 1, 1), ("assigned", 3, 1, 1), ("no_compatible", 0, 2, 1)]
+    want = [(1, 1, 2, "g1", 2), (1, 1, 3, "g1", 1), (2, 5, 7, "g3", 2)]
+    for most in (R.MOST_SHAPES, 0):  # sent to all tasks, or met in a shuffle
+        assert some(R.assigned(rows, tx, most=most), "cell", "umi_class", "weight", "gene_id", "copies") == want
+
+
+def test_edges_and_collapse_within_cell_and_gene(spark):
+    import random
+
+    draw = random.Random(5)
+    classes = sorted({draw.randrange(64) << draw.choice((0, 6, 18)) for _ in range(60)} | {(3 << 24) + 1, (9 << 24) + 2, 1 << 40})
+    best = [(c, u, f"g{draw.randrange(2)}", draw.randrange(3)) for c in (1, 2) for u in classes]
+    df = spark.createDataFrame(best, "cell long, umi_class long, gene_id string, w long")
+    near = lambda a, b: sum((a ^ b) >> (2 * i) & 3 > 0 for i in range(12)) == 1
+    assert sorted(map(tuple, R.umi_edges(df).select("cell", "a", "b").collect())) == sorted((c, a, b) for c in (1, 2) for a in classes for b in classes if a < b and near(a, b))
+    first, kept, want = lambda r: (-r[3], r[1]), {}, {}
+    for c, u, g, w in sorted(best, key=first):
+        before = [r for r in best if r[0] == c and r[2] == g and near(u, r[1]) and first(r) < (-w, u)]
+        want[c, u] = want[c, min(before, key=first)[1]] if before else u
+        kept[c, g] = kept.get((c, g), 0) + (not before)
+    assert {(r.cell, r.gene_id): r.umis for r in R.collapse(df).collect()} == kept
+    spark.sparkContext.setCheckpointDir("/tmp/moltide-test-checkpoints")
+    assert {(r.cell, r.umi_class): r.survivor for r in R.survivors(df).collect()} == want
