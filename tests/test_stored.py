@@ -33,6 +33,18 @@ def test_regions_open_their_bins_only(spark, tmp_path):
         A.write_archive(rows, path)
 
 
+def test_files_of_an_archive_are_bounded(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(A, "FILE_ROWS", 50)
+    A.write_archive(E.base(spark, DATA), str(tmp_path / "archive"), E.shaped)
+    sizes = [pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "archive" / "records").rglob("*.parquet")]
+    want = E.records(spark, DATA)
+    assert max(sizes) <= 50 and sum(sizes) == want.count()
+    kept = A.read_archive(spark, str(tmp_path / "archive")).select(*want.columns)
+    assert kept.exceptAll(want).isEmpty() and want.exceptAll(kept).isEmpty()
+
+
 def test_exons_become_half_open_and_touching_ones_merge(spark, tmp_path):
     line = lambda a, b, s="+", x='gene_id "g1"; transcript_id "t1";': f"c\tm\texon\t{a}\t{b}\t.\t{s}\t.\t{x}\n"
     got = T.gtf(spark, put(tmp_path, "#c\n" + line(21, 30) + line(1, 10) + line(11, 14) + "c\tm\tgene\t0\t0\t.\t+\t.\t\n")).collect()
