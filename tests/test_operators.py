@@ -123,3 +123,30 @@ def test_edges_and_collapse_within_cell_and_gene(spark):
     assert {(r.cell, r.gene_id): r.umis for r in R.collapse(df).collect()} == kept
     spark.sparkContext.setCheckpointDir("/tmp/moltide-test-checkpoints")
     assert {(r.cell, r.umi_class): r.survivor for r in R.survivors(df).collect()} == want
+
+
+def test_events_are_counted_where_classes_lie(spark):
+    kind = "array<array<struct<start:bigint,end:bigint>>>"
+    blocks = lambda *x: [dict(start=a, end=b) for a, b in zip((0, *x[1::2]), (*x[0::2], 99))]
+    short, long, far = blocks(10, 20), blocks(10, 30), blocks(10, 20, 25, 30)
+    made = [("s", 1, 1, [short], []), ("s", 1, 1, [long], []), ("s", 1, 2, [short, short], []), ("t", None, 3, [], [long]), ("t", 2, 4, [far], []), (None, 2, 4, [long], []), ("t", 3, 5, [far], []), ("t", 3, None, [], [])]
+    rows = spark.createDataFrame([(*r[:3], "c", *r[3:]) for r in made], f"sample string, cell long, umi_class long, chrom string, reps {kind}, mms {kind}")
+    old = Q.sides(Q.junction_rows(rows).select("sample", "chrom", "donor", "acceptor", "umi_class", "cell").join(Q.discover_events(Q.junction_catalogue(rows)), ["chrom", "donor", "acceptor"]), ["sample", "event_id", "kind"]).where("informative_umis >= 1")
+    got = Q.events(rows, ["sample"])
+    assert sorted(map(str, got.select(*old.columns).collect())) == sorted(map(str, old.collect())) != []
+    assert not any("umi_class" in x and "event_id" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_a_full_tile_is_not_gathered(spark):
+    rows = spark.createDataFrame([("c", 5, k, k % 3, [[dict(start=0, end=10), dict(start=20, end=30)]], []) for k in range(9)], "chrom string, anchor long, umi_class long, cell long, reps array<array<struct<start:bigint,end:bigint>>>, mms array<array<struct<start:bigint,end:bigint>>>")
+    plan = spark.createDataFrame([("r", "region", "c", 0, 9), ("j", "junction", "c", 10, 20), ("n", "region", "d", 0, 9)], "id string, kind string, chrom string, start long, end long")
+    found = Q.batch(rows, plan)
+    assert not any("Exchange" in x and "tile" in x for x in found._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert sorted((r.id, r.present, r.umis, r.cells) for r in found.collect()) == [("j", True, 9, 3), ("n", False, 0, 0), ("r", True, 9, 3)]
+
+
+def test_distinct_counts_hold_a_row_once(spark):
+    rows = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, None), (None, None, 5), (None, 7, 5)], "k string, umi_class long, cell long")
+    got = Q.distinct_counts(rows, ["k"])
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.umis, r.cells) for r in got.collect()} == {"a": (2, 2), None: (1, 1)}
